@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_mixing, q_substring_dedup
+from . import q_mixing, q_quality, q_substring_dedup
 
-MODULES = (q_mixing, q_substring_dedup,)
+MODULES = (q_mixing, q_quality, q_substring_dedup,)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
