@@ -54,21 +54,30 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts, byte ends and row numbers of all words."""
-    word = ~_SEPARATOR[raw]
-    before, after = np.empty_like(word), np.empty_like(word)
-    if len(word):
+def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the maximal runs of bytes ``inside``, none beyond its row."""
+    before, after = np.empty_like(inside), np.empty_like(inside)
+    if len(inside):
         before[0] = after[-1] = False
-        before[1:], after[:-1] = word[:-1], word[1:]
+        before[1:], after[:-1] = inside[:-1], inside[1:]
         inner = offsets[1:-1]
-        before[inner[inner < len(word)]] = False
+        before[inner[inner < len(inside)]] = False
         after[inner[inner > 0] - 1] = False
-    starts = np.flatnonzero(word & ~before)
-    ends = np.flatnonzero(word & ~after) + 1
+    starts = np.flatnonzero(inside & ~before)
+    ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts, byte ends and row numbers of all words."""
+    return spans_of(~_SEPARATOR[raw], offsets)
+
+
+def characters_before(raw: np.ndarray) -> np.ndarray:
+    """For each byte place, the end included: the code points that begin before it."""
+    return np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x + U64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
@@ -92,13 +101,21 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept[0][:n], kept[1][:n]
 
 
+class Hasher:
+    """64-bit polynomial hashes of values[start:end], for many ranges at once."""
+
+    def __init__(self, values: np.ndarray, salt: int = 0) -> None:
+        up, self.down = _power(_BASES[salt], len(values) + 1)
+        self.salt, self.sums = salt, np.empty(len(values) + 1, U64)
+        self.sums[0] = 0
+        np.cumsum((values.astype(U64) + U64(1)) * up[:-1], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts], self.salt + 16 * salt)
+
+
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit polynomial hashes of values[start:end] for many ranges at once."""
-    up, down = _power(_BASES[salt], len(values) + 1)
-    sums = np.empty(len(values) + 1, U64)
-    sums[0] = 0
-    np.cumsum((values.astype(U64) + U64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts], salt)
+    return Hasher(values, salt)(starts, ends)
 
 
 def window_hashes(words: np.ndarray, rows: np.ndarray, width: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
