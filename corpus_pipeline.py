@@ -1,0 +1,64 @@
+"""From documents to training pieces: quality, near duplicates, secrets, mixing, encoding.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
+``documents``.  ``run`` stores what a stage returns and reads it back before the next, so that no
+stage is worked out twice and a lost executor costs no earlier stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapewise.llm import mixing, ngram_join, pieces, quality, secrets_scan
+from tapewise.llm.common import store, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on labelled ones, does not reject."""
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, net, tuple(docs.columns)).filter("score >= 0.5").drop("score")
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that similarity 0.8 links, the one with the smallest id, once; rows with a null id stay."""
+    classes = ngram_join.similar_documents(docs)
+    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id IS NOT NULL")
+    once = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, findings replaced by a mask."""
+    clean = secrets_scan.redact(docs, secrets_scan.train(docs))
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row for each document and pass in which the mix shows some of it."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, pieces, lossless."""
+    return pieces.encode_texts(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_similar),
+    ("secret scans", redact_secrets),
+    ("mixing sources", mix_sources),
+    ("SentencePiece encoding", encode),
+]
+
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -133,3 +133,31 @@ def taken(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     d, t = placed.alias("d"), sums.alias("t")
     out = d.join(t, F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.start") == F.col("t.start")) & (F.col("d.size") > 0), "left")
     return out.select("d.*", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """The mix as rows with the columns of ``docs`` (doc_id, text, source, ... n_chars).
+
+    One row for each document and pass over its source in which the mix shows any of its words: the
+    text as it is where all its blocks are shown, else the words of the shown blocks, joined by one
+    space.  Documents without words, and those that no slot shows, are left out.
+    """
+    placed, slots = mix(docs, weights, cap, block, seed)
+    parts = placed.filter("size > 0").select("doc_id", "_tie", "source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
+    a, b = parts.alias("a"), slots.select("source", "block", "epoch").alias("b")
+    met = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block")))
+    # a document's blocks are as many as its words allow, whatever the source's size
+    shown = met.groupBy("doc_id", "_tie", "start", "size", "epoch").agg(F.array_sort(F.collect_list("a.block")).alias("_shown"))
+    all_blocks = F.floor((F.col("start") + F.col("size") - 1) / block) - F.floor(F.col("start") / block) + 1
+    shown = shown.withColumn("_whole", F.size("_shown") == all_blocks)
+    key = [F.coalesce("doc_id", F.lit(-1).cast("long")).alias("_k1"), F.col("doc_id").isNull().alias("_k2"), F.col("_tie").alias("_k3")]
+    texts = docs.withColumn("_tie", F.xxhash64("text")).select("*", *key).drop("_tie").dropDuplicates(["_k1", "_k2", "_k3"])
+    both = texts.join(shown.select(*key, "start", "size", "_shown", "_whole"), ["_k1", "_k2", "_k3"])
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    low = lambda x: F.greatest(x * block - F.col("start"), F.lit(0))
+    high = lambda x: F.least((x + 1) * block - F.col("start"), F.col("size"))
+    cut = F.array_join(F.flatten(F.transform("_shown", lambda x: F.slice(F.col("_words"), (low(x) + 1).cast("int"), (high(x) - low(x)).cast("int")))), " ")
+    both = both.withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return both.select(*docs.columns)
