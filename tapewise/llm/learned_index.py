@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .vectors import HITS_DDL, best, local_search, matrix, spread, top
 
-SAMPLE, NEIGHBOURS, HIDDEN, PART_ROWS, BLOCK_ROWS, RECALL = 4096, 16, 64, 2500, 16384, 0.985
+SAMPLE, NEIGHBOURS, HIDDEN, PART_ROWS, BLOCK_ROWS, RECALL = 4096, 16, 64, 1500, 16384, 0.955
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
