@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import store
+
 BLOCK = 64
 SHARD_SLOTS = 4096
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 ROUNDS = 8
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -94,14 +96,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: floa
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
     spark = docs.sparkSession
-    n = docs.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
+    # texts are read once: what follows uses the stored sizes several times
+    sized = store(sized)
+    buckets = max(1, -(-sized.count() // BUCKET_ROWS))
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_tie"), F.lit(buckets)))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
     # a slot shows source_size / blocks words on average; a target at its cap is cap times all blocks
     slots_of = F.when(F.col("source_size") > 0, F.least(F.floor(F.lit(cap) * F.col("blocks")), F.round(F.col("target") * F.col("blocks") / F.col("source_size")))).otherwise(0).cast("long")
-    sources = sources.withColumn("n_slots", slots_of)
+    sources = sources.withColumn("n_slots", slots_of).withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy()))
     placed = offsets(sized, buckets)
     p, s = placed.alias("p"), sources.alias("s")
     placed = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source"))).select("p.*", "source_size", "target", "blocks")
@@ -114,8 +117,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: floa
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
     slots = slots.withColumn("block", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("epoch"), F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()))
     shards = F.greatest(F.lit(1), F.ceil(F.col("all_slots") / SHARD_SLOTS)).cast("long")
-    total = sources.agg(F.sum("n_slots").alias("all_slots"))
-    slots = slots.join(F.broadcast(total)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "source", F.col("source").isNull(), "slot"), shards))
+    slots = slots.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "source", F.col("source").isNull(), "slot"), shards))
     slots = slots.select("shard", "source", "slot", "block", "epoch")
     return placed, slots
 
