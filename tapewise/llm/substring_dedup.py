@@ -76,11 +76,14 @@ def _document_cells(docs: pa.Table, width: int) -> np.ndarray:
 def _candidates(docs: pa.Table, width: int, counts: np.ndarray):
     """Chunk's windows that are estimated repeated: sorted distinct keys, second hashes and smallest ids,
     and for each slice of rows which windows have which key."""
-    own, _ = X.sketch(_document_cells(docs, width))
-    ids, parts = _ids(docs), []
-    for a, b, rows, first, (h, h2) in _windows(docs, width, (0, 1)):
-        seen = X.estimates(_cells(h), own, counts) >= 2 if len(h) else np.zeros(0, bool)
-        parts.append((a, b, len(rows), rows, first[seen], h[seen], h2[seen], ids[a + rows[first[seen]]] if len(first) else np.zeros(0, np.int64)))
+    ids, found = _ids(docs), list(_windows(docs, width, (0, 1)))
+    # the chunk's own cells in order, as the sketch has sent them
+    _, at = np.unique(np.concatenate([np.zeros(0, U64), *(_cells(h) for *_, (h, _) in found)]), return_inverse=True)
+    repeated, done, parts = counts[at] >= 2, 0, []
+    for a, b, rows, first, (h, h2) in found:
+        seen = repeated[done : done + len(h)]
+        done += len(h)
+        parts.append((a, b, len(rows), rows, first[seen], h[seen], h2[seen], ids[a + rows[first[seen]]]))
     h = np.concatenate([np.zeros(0, U64), *(p[5] for p in parts)])
     h2 = np.concatenate([np.zeros(0, U64), *(p[6] for p in parts)])
     doc = np.concatenate([np.zeros(0, np.int64), *(p[7] for p in parts)])
