@@ -23,7 +23,7 @@ from .canonical import FeatureQueries
 #: Instants of the queries: events run through January 2024.
 CUTOFF = 1_705_000_000_000_000_000
 POINT = ("click", 1_704_067_432_824_425_000)
-NUDGE = 1.1e-10
+NUDGE = 1.1e-9
 BOOKED = ("bid_price", "bid_qty", "ask_price", "ask_qty")
 
 
@@ -40,7 +40,7 @@ def items_as_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return x.select(
         (F.unix_date(F.col("l_shipdate").cast("date")).cast("long") * DAY).alias("ts"), F.col("l_returnflag").alias("symbol"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"),
-        F.col("l_quantity").cast("double").alias("qty"), F.when(F.col("l_linenumber") % 2 == 0, "buy").otherwise("sell").alias("side"), (F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")).alias("seq"),
+        F.col("l_quantity").cast("double").alias("qty"), F.when(F.col("l_linenumber") % 2 == 0, "buy").otherwise("sell").alias("side"), (((F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")) * 100_003 + F.col("l_partkey")) * 10_007 + F.col("l_suppkey")).alias("seq"),
     )
 
 
@@ -243,7 +243,7 @@ SELECT seq, {_r("(ap * bq + bp * aq) / nullif(bq + aq, 0)")} AS microprice FROM
     "feature_rows": f"WITH {TRADES}, {FEATURES_SQL} SELECT {ROUNDED} FROM f",
     "minute_bucket": f"WITH {TRADES} SELECT {BUCKET} AS minute_ts, count(*) AS n FROM t GROUP BY 1",
     "tie_semantics": f"""WITH t AS (SELECT epoch_ns(CAST(l_shipdate AS TIMESTAMP)) AS ts, l_returnflag AS symbol, CAST(l_extendedprice / l_quantity AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS qty,
-  CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS sign, CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS seq FROM lineitem),
+  CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS sign, ((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 100003 + l_partkey) * 10007 + l_suppkey AS seq FROM lineitem),
 w AS (SELECT seq, symbol, sum(price * qty) OVER u - coalesce(sum(price * qty) OVER b, 0) AS pq, sum(qty) OVER u - coalesce(sum(qty) OVER b, 0) AS q,
   sum(sign * qty) OVER u - coalesce(sum(sign * qty) OVER b, 0) AS ofi, count(*) OVER u - count(*) OVER b AS n FROM t
   WINDOW u AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND {3 * DAY + 1} PRECEDING))
