@@ -128,11 +128,12 @@ def taken(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = placed.filter("size > 0").select("source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     parts = parts.withColumn("_words", end - F.greatest(F.col("start"), F.col("block") * block))
-    a, b = parts.alias("a"), shown.alias("b")
+    # both sides grow with the corpus, which the planner cannot see behind the exploded slots
+    a, b = parts.alias("a"), shown.hint("merge").alias("b")
     met = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block")))
     # a document is its first word's place in its source: no two with words share one
     sums = met.groupBy("a.source", "a.start").agg(F.sum(F.col("_words") * F.col("_times")).cast("long").alias("taken"))
-    d, t = placed.alias("d"), sums.alias("t")
+    d, t = placed.alias("d"), sums.hint("merge").alias("t")
     out = d.join(t, F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.start") == F.col("t.start")) & (F.col("d.size") > 0), "left")
     return out.select("d.*", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
@@ -146,7 +147,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     """
     placed, slots = mix(docs, weights, cap, block, seed)
     parts = placed.filter("size > 0").select("doc_id", "_tie", "source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    a, b = parts.alias("a"), slots.select("source", "block", "epoch").alias("b")
+    a, b = parts.alias("a"), slots.select("source", "block", "epoch").hint("merge").alias("b")
     met = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block")))
     # a document's blocks are as many as its words allow, whatever the source's size
     shown = met.groupBy("doc_id", "_tie", "start", "size", "epoch").agg(F.array_sort(F.collect_list("a.block")).alias("_shown"))
@@ -154,7 +155,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     shown = shown.withColumn("_whole", F.size("_shown") == all_blocks)
     key = [F.coalesce("doc_id", F.lit(-1).cast("long")).alias("_k1"), F.col("doc_id").isNull().alias("_k2"), F.col("_tie").alias("_k3")]
     texts = docs.withColumn("_tie", F.xxhash64("text")).select("*", *key).drop("_tie").dropDuplicates(["_k1", "_k2", "_k3"])
-    both = texts.join(shown.select(*key, "start", "size", "_shown", "_whole"), ["_k1", "_k2", "_k3"])
+    both = texts.join(shown.select(*key, "start", "size", "_shown", "_whole").hint("merge"), ["_k1", "_k2", "_k3"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     low = lambda x: F.greatest(x * block - F.col("start"), F.lit(0))
     high = lambda x: F.least((x + 1) * block - F.col("start"), F.col("size"))
