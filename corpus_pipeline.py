@@ -17,7 +17,7 @@ from tapewise.llm.common import store, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on labelled ones, does not reject."""
     net = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net, tuple(docs.columns)).filter("score >= 0.5").drop("score")
+    return quality.score(docs, net, tuple(docs.columns), "_quality").filter("_quality >= 0.5").drop("_quality")
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,10 +155,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     shown = shown.withColumn("_whole", F.size("_shown") == all_blocks)
     key = [F.coalesce("doc_id", F.lit(-1).cast("long")).alias("_k1"), F.col("doc_id").isNull().alias("_k2"), F.col("_tie").alias("_k3")]
     texts = docs.withColumn("_tie", F.xxhash64("text")).select("*", *key).drop("_tie").dropDuplicates(["_k1", "_k2", "_k3"])
-    both = texts.join(shown.select(*key, "start", "size", "_shown", "_whole").hint("merge"), ["_k1", "_k2", "_k3"])
+    both = texts.join(shown.select(*key, F.col("start").alias("_start"), F.col("size").alias("_size"), "_shown", "_whole").hint("merge"), ["_k1", "_k2", "_k3"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    low = lambda x: F.greatest(x * block - F.col("start"), F.lit(0))
-    high = lambda x: F.least((x + 1) * block - F.col("start"), F.col("size"))
+    low = lambda x: F.greatest(x * block - F.col("_start"), F.lit(0))
+    high = lambda x: F.least((x + 1) * block - F.col("_start"), F.col("_size"))
     cut = F.array_join(F.flatten(F.transform("_shown", lambda x: F.slice(F.col("_words"), (low(x) + 1).cast("int"), (high(x) - low(x)).cast("int")))), " ")
     both = both.withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:

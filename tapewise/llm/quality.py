@@ -155,14 +155,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return fit(*T.sample(docs, labels, label, rows, most_bytes, seed), seed=seed)
 
 
-def score(docs: DataFrame, net: Network, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of each row of ``docs`` and score, the probability of label 1, from its whole text.
+def score(docs: DataFrame, net: Network, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``columns`` of each row of ``docs`` and ``name``, the probability of label 1, from its whole text.
 
     A null text is scored as an empty one; rows with equal ids, and null ids, are scored each for
     itself; other columns are ignored; an empty table gives an empty table.
     """
     fields = docs.select(*columns).schema
-    schema = to_arrow_schema(fields).append(pa.field("score", pa.float64()))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
+    schema = to_arrow_schema(fields).append(pa.field(name, pa.float64()))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {name} double"
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 150 kB, whatever the corpus
     return T.score_texts(docs, lambda raw, offsets: [shared.value.probabilities(raw, offsets)], ddl, schema, columns)
