@@ -121,6 +121,7 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 0, epochs: int = 14, batc
     weight = np.where(y > 0, 0.5 / max(1, np.sum(y > 0)), 0.5 / max(1, np.sum(y == 0))) * len(y)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
     t = 0
+    epochs = max(epochs, -(-500 // max(1, len(texts) // batch)))  # a small sample needs as many steps
     for epoch in range(epochs):
         lr = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.02)
         for ids in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
