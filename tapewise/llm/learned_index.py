@@ -4,7 +4,8 @@ On a bounded sample a graph of nearest neighbours is cut into balanced parts (bi
 slowest mode of a random walk, then exchanges of pairs that cut fewer edges), and a small network
 learns each vector's part, softened by the parts of its neighbours.  The network then deals every
 vector to one part, and a query to its most probable parts, as many as gave the wished recall on the
-sample; these are searched in full, with exact scores.
+sample; these are searched in full, with exact scores.  Neighbouring parts lie on one shelf, a task's
+work: a query goes there once for all its parts of the shelf, and brings back its k best of them.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import HITS_DDL, best, local_search, matrix, spread, top
+from .vectors import HITS, HITS_DDL, best, matrix, spread, top
 
-SAMPLE, NEIGHBOURS, HIDDEN, PART_ROWS, BLOCK_ROWS, RECALL = 4096, 16, 64, 1500, 16384, 0.955
+SAMPLE, NEIGHBOURS, HIDDEN, PART_ROWS, SHELVES, BLOCK_ROWS, RECALL = 4096, 16, 64, 1500, 8, 16384, 0.955
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -142,30 +143,63 @@ def search(data: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE,
                 at = net.value.logits(matrix(batch.column(1))).argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32))], names=["vec_id", "v", "part"])
 
-    indexed = data.select("vec_id", "v").mapInArrow(home, "vec_id long, v array<double>, part int")
+    shelves = min(parts, SHELVES)
+    shelf = F.floor(F.col("part") * shelves / parts).cast("int")
+    indexed = data.select("vec_id", "v").mapInArrow(home, "vec_id long, v array<double>, part int").withColumn("shelf", shelf)
     sizes = {r[0]: r[1] for r in indexed.groupBy("part").count().collect()}  # parts rows
     # the fewest rows that the probed parts can have must fill k
     small = np.sort([sizes.get(i, 0) for i in range(parts)])
     probes = net.value.probes
     while probes < parts and small[:probes].sum() <= k:
         probes += 1
-    blocks = {i: max(1, -(-sizes.get(i, 0) // BLOCK_ROWS)) for i in range(parts)}
+    loads = [sum(n for i, n in sizes.items() if i * shelves // parts == j) for j in range(shelves)]
+    blocks = {j: max(1, -(-n // BLOCK_ROWS)) for j, n in enumerate(loads)}
 
     def route(batches):
+        """A row for each query and shelf, with the query's parts there."""
         for batch in batches:
             if batch.num_rows:
-                chosen = np.argsort(-net.value.logits(matrix(batch.column(1))), axis=1)[:, :probes]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
+                chosen = np.sort(np.argsort(-net.value.logits(matrix(batch.column(1))), axis=1)[:, :probes], axis=1).ravel()
+                row, at = np.repeat(np.arange(batch.num_rows), probes), chosen * shelves // parts
+                first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1]))))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(chosen.astype(np.int32)))
+                take = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists, pa.array(at[first].astype(np.int32))], names=["vec_id", "v", "parts", "shelf"])
 
     of = F.create_map(*[F.lit(y) for kv in blocks.items() for y in kv])
-    asked = data.filter(is_query).select("vec_id", "v").mapInArrow(route, "vec_id long, v array<double>, parts array<int>").select("vec_id", "v", F.explode("parts").alias("part"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), of[F.col("part")].cast("int") - 1)))
-    # a part's queries are dealt out too, so that no task has more than some thousands
-    n_asked = {r[0]: r[1] for r in asked.groupBy("part").count().collect()}
-    turns = {i: max(1, -(-n_asked.get(i, 0) // (blocks[i] * 8192))) for i in range(parts)}
+    asked = data.filter(is_query).select("vec_id", "v").mapInArrow(route, "vec_id long, v array<double>, parts array<int>, shelf int")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), of[F.col("shelf")].cast("int") - 1)))
+    # a shelf's queries are dealt out too, so that no task has more than some thousands
+    n_asked = {r[0]: r[1] for r in asked.groupBy("shelf").count().collect()}
+    turns = {i: max(1, -(-n_asked.get(i, 0) // (blocks[i] * 8192))) for i in range(shelves)}
     turn = F.create_map(*[F.lit(y) for kv in turns.items() for y in kv])
-    asked = asked.withColumn("turn", spread(turn[F.col("part")]))
-    placed = indexed.withColumn("block", spread(of[F.col("part")])).withColumn("turn", F.explode(F.sequence(F.lit(0), turn[F.col("part")].cast("int") - 1)))
-    keys = ["part", "block", "turn"]
-    hits = asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(local_search(k), HITS_DDL)
+    asked = asked.withColumn("turn", spread(turn[F.col("shelf")]))
+    placed = indexed.withColumn("block", spread(of[F.col("shelf")])).withColumn("turn", F.explode(F.sequence(F.lit(0), turn[F.col("shelf")].cast("int") - 1)))
+    keys = ["shelf", "block", "turn"]
+    hits = asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(_shelf_search(k), HITS_DDL)
     return top(hits, k)
+
+
+def _shelf_search(k: int):
+    """A cogroup step: queries (vec_id, v, parts) against vectors (vec_id, v, part) of one shelf."""
+
+    def run(queries: pa.Table, data: pa.Table) -> pa.Table:
+        if not queries.num_rows or not data.num_rows:
+            return HITS.empty_table()
+        q_ids, q, ids, x = queries.column("vec_id").to_numpy(), matrix(queries.column("v")), data.column("vec_id").to_numpy(), matrix(data.column("v"))
+        part, lists = data.column("part").to_numpy(), queries.column("parts").combine_chunks()
+        asks, wanted = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        found = []
+        for p in np.unique(wanted):
+            mine, rows = asks[wanted == p], np.flatnonzero(part == p)
+            if len(rows):
+                found.append(best(q_ids[mine], q[mine], ids[rows], x[rows], k))
+        if not found:
+            return HITS.empty_table()
+        a, b, s = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((b, -s, a))
+        a, b, s = a[order], b[order], s[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return pa.Table.from_arrays([pa.array(a[keep].astype(np.int64)), pa.array(b[keep].astype(np.int64)), pa.array(s[keep].astype(np.float64))], schema=HITS)
+
+    return run

@@ -238,7 +238,10 @@ def test_exact_top(spark):
     assert topk_join.exact_top(whole.filter("vec_id < 3"), F.lit(True), 10).count() == 6
 
 
-def test_learned_index(spark):
+@pytest.mark.parametrize(("shelves", "part_rows"), [(8, 1500), (2, 200)])
+def test_learned_index(spark, shelves, part_rows, monkeypatch):
+    monkeypatch.setattr(learned_index, "SHELVES", shelves)
+    monkeypatch.setattr(learned_index, "PART_ROWS", part_rows)
     v = usable(vectors(spark, 3000))
     rows = {r["vec_id"]: np.array(r["v"]) for r in v.collect() if any(r["v"])}
     want = brute(list(rows.items()), lambda q: q % 20 == 0, 20)
