@@ -266,6 +266,10 @@ def test_secrets(spark, docs, nothing):
     clean = {r["doc_id"]: r["text"] for r in secrets_scan.redact(one, net).collect()}
     assert "AKIA" not in clean[1] and "é" in clean[1] and clean[2] is None
     assert secrets_scan.scan(docs, net).count() == len(ROWS)
+    texts = [f"password=hunter{i % 20} of some text" for i in range(60)] + [f"plain text {i % 30}" for i in range(90)]
+    picked = secrets_scan.sample(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "x" * 100_001])], "doc_id long, text string"), rows=30)
+    assert len(picked) == len(set(picked)) == 30 and sum(b"password" in t for t in picked) == 15 and set(picked) <= {t.encode() for t in texts}
+    assert sum(map(len, secrets_scan.sample(docs, most_bytes=500))) <= 500 and secrets_scan.sample(nothing) == []
 
 
 def test_field_is_exact():
