@@ -29,6 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS = 0.1, 4
 MARK = "▁"
 LONGEST = 64
+SLICE = 1 << 20  # bytes of text encoded at once: arrays over characters take some 100 times as much
 NEVER = np.int32(2**31 - 1)
 
 
@@ -182,7 +183,7 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Memory:
     """Pieces of units that a task has met before; it starts anew beyond ``most`` units."""
 
-    def __init__(self, most: int = 1 << 20) -> None:
+    def __init__(self, most: int = 1 << 19) -> None:
         self.most = most
         self.clear()
 
@@ -311,7 +312,7 @@ def encode_texts(docs: DataFrame, model_file: str = MODEL, dropout: float = DROP
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1))
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 part, offs = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 out, bounds = encode(part, offs, ids[a:b], vocab, dropout, seed, variants, memory)
                 back, at = decode(out, bounds)
