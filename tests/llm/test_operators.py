@@ -123,6 +123,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path_in_random_order(spark):
+    rng = random.Random(1)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(300)]  # 60 rounds of the smallest neighbour's root do not settle it
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, min(ids))
+
+
 def test_mixing(docs, nothing):
     out = mixing.taken(*mixing.mix(nothing))
     assert out.count() == 0
