@@ -3,12 +3,14 @@
 A model's merge vocabulary (byte fallback included) is read from its file; nothing is trained.  White
 space is not normalised: a space is the piece's mark, every other character that has no piece, the
 mark itself included, goes to bytes.  A unit is a run of spaces and the characters up to the next
-space; no piece crosses units, so a unit met before is looked up, for each variant.
+space; no piece crosses units.
 
 Agenda: of all neighbouring pieces whose concatenation is a piece, the one with the best score, the
 leftmost of equals, is merged next.  A candidate merge is skipped for good if the keyed hash of (seed,
-variant, unit, place, the two pieces) falls below ``dropout``; the variant (of ``variants``) is a keyed
-hash of the document and of the unit's number in it, so that one unit has several segmentations.
+document, the unit's number in it, unit, place, the two pieces) falls below ``dropout``, so that each
+occurrence of a unit has a draw of its own for each candidate.  The agenda without dropout and its
+candidates are looked up for units met before: an occurrence that skips none of these has its pieces,
+every other one is worked out anew.
 Short units run through the agenda side by side in arrays, long ones each with a heap.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .arrays import U64, Hasher, characters_before, mix, slices, string_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, VARIANTS = 0.1, 4
+DROPOUT = 0.1
 MARK = "▁"
 LONGEST = 64
 SLICE = 1 << 20  # bytes of text encoded at once: arrays over characters take some 100 times as much
@@ -97,16 +99,25 @@ def load(model_file: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, single, byte_ids, np.array([k for k, _ in found], np.int64), np.array([i for _, i in found], np.int32), rank)
 
 
+def _named(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for the merge of a and b at ``place``."""
+    return a.astype(U64) << U64(40) ^ b.astype(U64) << U64(16) ^ place.astype(U64)
+
+
+def _drawn(unit: np.ndarray, named: np.ndarray, limit: int) -> np.ndarray:
+    """False where the keyed hash skips a merge."""
+    return (mix(unit + named, 11) >> U64(11)) >= U64(limit)
+
+
 def _kept(a: np.ndarray, b: np.ndarray, place: np.ndarray, unit: np.ndarray, limit: int) -> np.ndarray:
     """False where the keyed hash skips the merge of a and b at ``place``."""
-    if not limit:
-        return np.ones(len(a), bool)
-    h = mix(unit + (a.astype(U64) << U64(40) ^ b.astype(U64) << U64(16) ^ place.astype(U64)), 11)
-    return (h >> U64(11)) >= U64(limit)
+    return _drawn(unit, _named(a, b, place), limit) if limit else np.ones(len(a), bool)
 
 
-def _side_by_side(vocab: Vocabulary, ids: np.ndarray, lengths: np.ndarray, units: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs the agenda of many units in step: (pieces of all units, their numbers); ids has shape (units, width)."""
+def _side_by_side(vocab: Vocabulary, ids: np.ndarray, lengths: np.ndarray, units: np.ndarray, limit: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs the agenda of many units in step: (pieces of all units, their numbers); ids has shape (units, width).
+
+    ``seen`` is given the rows and the names of all candidates."""
     n, width = ids.shape
     ids = ids.ravel().copy()
     after = np.tile(np.arange(1, width + 1, dtype=np.int32), n)
@@ -120,6 +131,8 @@ def _side_by_side(vocab: Vocabulary, ids: np.ndarray, lengths: np.ndarray, units
         a, b = ids[here], ids[rows * width + after[here]]
         m = vocab.merge(a, b)
         ok = np.flatnonzero(m >= 0)
+        if seen is not None:
+            seen.append((rows[ok], _named(a[ok], b[ok], at[ok])))
         ok = ok[_kept(a[ok], b[ok], at[ok], units[rows[ok]], limit)]
         best[here] = NEVER
         new[here[ok]] = m[ok]
@@ -181,17 +194,18 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Pieces of units that a task has met before; it starts anew beyond ``most`` units."""
+    """Pieces without dropout, and all candidates on the way, of short units that a task has met before; it starts anew beyond ``most`` units."""
 
-    def __init__(self, most: int = 1 << 19) -> None:
+    def __init__(self, most: int = 1 << 18) -> None:
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.units, self.begins, self.counts, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.units, self.flat, self.names = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, U64)
+        self.begins, self.counts, self.firsts, self.offers = (np.zeros(0, np.int64) for _ in range(4))
 
-    def look_up(self, vocab: Vocabulary, singles: np.ndarray, starts: np.ndarray, lengths: np.ndarray, units: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat, begins, counts) of sorted distinct units; the pieces of new ones are worked out and kept."""
+    def look_up(self, vocab: Vocabulary, singles: np.ndarray, starts: np.ndarray, lengths: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Places in this memory of sorted distinct units; new ones are worked out and kept."""
         if len(self.units) + len(units) > self.most:
             self.clear()
         at = np.searchsorted(self.units, units)
@@ -199,15 +213,31 @@ class Memory:
         inside = at < len(self.units)
         known[inside] = self.units[at[inside]] == units[inside]
         new = np.flatnonzero(~known)
-        flat, counts = _units(vocab, singles, starts[new], lengths[new], units[new], limit)
-        begins = np.cumsum(counts) - counts + len(self.flat)
-        self.units, self.begins, self.counts = (np.insert(x, at[new], y) for x, y in ((self.units, units[new]), (self.begins, begins), (self.counts, counts)))
-        self.flat = np.concatenate((self.flat, flat))
-        at = np.searchsorted(self.units, units)
-        return self.flat, self.begins[at], self.counts[at]
+        if not len(new):
+            return at
+        seen: list = []
+        flat, counts = _units(vocab, singles, starts[new], lengths[new], units[new], 0, seen)
+        owner = np.concatenate([np.zeros(0, np.int64), *(o for o, _ in seen)])
+        names = np.concatenate([np.zeros(0, U64), *(x for _, x in seen)])[np.argsort(owner, kind="stable")]
+        offers = np.bincount(owner, minlength=len(new)).astype(np.int64)
+        begins, firsts = np.cumsum(counts) - counts + len(self.flat), np.cumsum(offers) - offers + len(self.names)
+        kept = (self.units, units[new]), (self.begins, begins), (self.counts, counts), (self.firsts, firsts), (self.offers, offers)
+        self.units, self.begins, self.counts, self.firsts, self.offers = (np.insert(x, at[new], y) for x, y in kept)
+        self.flat, self.names = np.concatenate((self.flat, flat)), np.concatenate((self.names, names))
+        return np.searchsorted(self.units, units)
+
+    def skips(self, at: np.ndarray, drawn: np.ndarray, limit: int) -> np.ndarray:
+        """Which occurrences (places ``at``, with their own hashes ``drawn``) skip a candidate of the agenda without dropout."""
+        out = np.zeros(len(at), bool)
+        for a in range(0, len(at), 1 << 16):
+            some = at[a : a + (1 << 16)]
+            n = self.offers[some]
+            who = np.repeat(np.arange(a, a + len(some)), n)
+            out[who[~_drawn(drawn[who], self.names[_ragged(self.firsts[some], n)], limit)]] = True
+        return out
 
 
-def encode(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocab: Vocabulary, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS, memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocab: Vocabulary, dropout: float = DROPOUT, seed: int = 0, memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds) of all rows; ``keys`` (one a row) and ``seed`` choose what is skipped.
 
     An empty row has no pieces."""
@@ -231,13 +261,24 @@ def encode(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocab: Vocabu
     limit = int(dropout * 2**53)
     with np.errstate(over="ignore"):
         unit = Hasher(points)(starts, ends)
-        if limit:
-            variant = mix(keys[row] + mix(nth.astype(U64) + U64(seed), 21), 22) % U64(variants)
-            unit = mix(unit + variant * U64(0x9E3779B97F4A7C15) + mix(np.array([seed], U64), 23)[0], 24)
-        uniq, at, inverse = np.unique(unit, return_index=True, return_inverse=True)
-        flat, begins, counts = (memory or Memory()).look_up(vocab, vocab.single[points], starts[at], (ends - starts)[at], uniq, limit)
-    out = flat[_ragged(begins[inverse], counts[inverse])]
-    per_row = np.bincount(row, counts[inverse], n).astype(np.int64)
+        lengths, singles = ends - starts, vocab.single[points]
+        short = np.flatnonzero(lengths <= LONGEST)
+        _, first_of, inverse = np.unique(unit[short], return_index=True, return_inverse=True)
+        first_of = short[first_of]
+        memory = memory or Memory()
+        at = memory.look_up(vocab, singles, starts[first_of], lengths[first_of], unit[first_of])[inverse]
+        drawn = mix(unit + mix(keys[row] + mix(nth.astype(U64) + U64(seed), 21), 22) + mix(np.array([seed], U64), 23)[0], 24)
+        again = np.ones(len(starts), bool)
+        again[short] = memory.skips(at, drawn[short], limit) if limit else False
+        same, anew = np.flatnonzero(~again[short]), np.flatnonzero(again)
+        flat, counts_anew = _units(vocab, singles, starts[anew], lengths[anew], drawn[anew], limit)
+    counts = np.zeros(len(starts), np.int64)
+    counts[short[same]], counts[anew] = memory.counts[at[same]], counts_anew
+    out = np.empty(counts.sum(), np.int32)
+    begins = np.cumsum(counts) - counts
+    out[_ragged(begins[short[same]], counts[short[same]])] = memory.flat[_ragged(memory.begins[at[same]], counts[short[same]])]
+    out[_ragged(begins[anew], counts_anew)] = flat
+    per_row = np.bincount(row, counts, n).astype(np.int64)
     bounds = np.concatenate(([0], np.cumsum(per_row)))
     unknown = np.flatnonzero(out >= vocab.size)
     if len(unknown):  # characters without a piece go to their bytes
@@ -251,8 +292,8 @@ def encode(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocab: Vocabu
     return out.astype(np.int32), bounds
 
 
-def _units(vocab: Vocabulary, singles: np.ndarray, starts: np.ndarray, lengths: np.ndarray, units: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of distinct units, one unit after another, and their numbers."""
+def _units(vocab: Vocabulary, singles: np.ndarray, starts: np.ndarray, lengths: np.ndarray, units: np.ndarray, limit: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of units, one unit after another, and their numbers; ``seen`` is given the units and names of all candidates of short ones."""
     counts, parts, where = np.zeros(len(starts), np.int64), [], []
     low = 0
     for width in (2, 4, 6, 8, 10, 12, 16, 24, 40, LONGEST):
@@ -261,7 +302,10 @@ def _units(vocab: Vocabulary, singles: np.ndarray, starts: np.ndarray, lengths:
         for a in range(0, len(pick), 1 << 15):
             some = pick[a : a + (1 << 15)]
             at = np.minimum(starts[some][:, None] + np.arange(width), len(singles) - 1)
-            got, counts[some] = _side_by_side(vocab, singles[at], lengths[some], units[some], limit)
+            met: list | None = None if seen is None else []
+            got, counts[some] = _side_by_side(vocab, singles[at], lengths[some], units[some], limit, met)
+            if seen is not None:
+                seen += [(some[r], names) for r, names in met]
             parts.append(got)
             where.append(some)
     for i in np.flatnonzero(lengths > LONGEST).tolist():
@@ -297,7 +341,7 @@ ENCODED_DDL = "doc_id long, n_pieces long, pieces array<int>, lossless boolean"
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("pieces", pa.list_(pa.int32())), ("lossless", pa.bool_())])
 
 
-def encode_texts(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS) -> DataFrame:
+def encode_texts(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
     """doc_id, n_pieces, pieces, and whether they decode to the very text, for each row's whole text.
 
     A null text is encoded as an empty one, which has no pieces; rows with equal ids and equal texts
@@ -314,7 +358,7 @@ def encode_texts(docs: DataFrame, model_file: str = MODEL, dropout: float = DROP
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
             for a, b in slices(offsets, SLICE):
                 part, offs = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                out, bounds = encode(part, offs, ids[a:b], vocab, dropout, seed, variants, memory)
+                out, bounds = encode(part, offs, ids[a:b], vocab, dropout, seed, memory)
                 back, at = decode(out, bounds)
                 same = np.array([x == y and np.array_equal(part[p:q], back[x2:y2]) for x, y, p, q, x2, y2 in zip(np.diff(offs), np.diff(at), offs[:-1], offs[1:], at[:-1], at[1:])], bool)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out)), pa.array(same)], schema=ENCODED)

@@ -204,6 +204,29 @@ def test_pieces(spark, docs, nothing):
     assert not np.array_equal(one, other)
 
 
+def test_dropout_is_drawn_for_each_occurrence():
+    pytest.importorskip("sentencepiece")
+    vocab = pieces.load()
+    raw, offsets = joined([b"international " * 2000] * 2)
+    ids, b = pieces.encode(raw, offsets, np.arange(2).astype(np.uint64), vocab, 0.1)
+    ways = [" ".join(map(str, x)) for r in range(2) for x in _by_word(ids[b[r] : b[r + 1]], vocab)]
+    assert len(set(ways)) > 8  # four variants made four at most
+    # a unit of one merge is skipped in a tenth of its occurrences
+    raw, offsets = joined([b"a " * 5000])
+    ids, _ = pieces.encode(raw, offsets, np.zeros(1, np.uint64), vocab, 0.1)
+    cut = sum(vocab.pieces[i] == b"a" for i in ids.tolist())
+    assert 400 < cut < 600
+
+
+def _by_word(ids, vocab):
+    out = []
+    for i in ids.tolist():
+        if vocab.pieces[i].startswith(b" "):
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "How do I sort?\n\nAnd how to join?"), (1, 1, "assistant", "Use orderBy."), (1, 2, "user", "> And how to  JOIN?\nThis one, please"),
