@@ -146,14 +146,14 @@ def _base(spark: SparkSession) -> str:
 
 def storage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _base(spark)
-    write_features(_features(spark, sf_dir).filter(F.col("ts") < CUTOFF), base)
-    return _round(read_features(spark, base))
+    write_features(_features(spark, sf_dir), base)
+    return _round(read_features(spark, base).filter(F.col("ts") < CUTOFF))  # all rows are stored; the SQL shows those before CUTOFF
 
 
 def storage_filtered_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _base(spark)
-    write_features(_features(spark, sf_dir).filter(F.col("ts") < CUTOFF), base)
-    return _round(read_features(spark, base, symbol="click", date_from=19724, date_to=19730))
+    write_features(_features(spark, sf_dir), base)
+    return _round(read_features(spark, base, symbol="click", date_from=19724, date_to=19730))  # these days end before the SQL's CUTOFF
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> FeatureQueries:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewise.functions import day, hour, microprice, minute
 from tapewise.operators import compute_features
-from tapewise.plans import FeatureQueries
+from tapewise.plans import FeatureQueries, catalog
 from tapewise.schemas import DAY, FEATURE, HOUR, MINUTE
 from tapewise.serving import FeatureStore
 from tapewise.sources import batch_numbers, measure_write, read_features, read_trades, stream_trades, synthetic_trades, trades_from_rows, validated, write_features
@@ -72,6 +72,19 @@ def test_storage(spark, base, tmp_path):
     assert measure_write(feature_rows(spark, 10), str(tmp_path / "m"))["rows_written"] == 10
 
 
+@pytest.mark.parametrize("name", ["storage_roundtrip", "storage_filtered_read"])
+def test_storage_queries_store_all_rows(spark, tmp_path, monkeypatch, name):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalog, "_base", lambda _: str(tmp_path / "all"))
+    got = catalog.QUERIES[name](spark, folder)
+    every = catalog._features(spark, folder).select(*FEATURE.names).collect()
+    assert sorted(map(str, read_features(spark, str(tmp_path / "all")).collect())) == sorted(map(str, every))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, db.execute(catalog.ORACLES[name]).fetchall()))
+
+
 def test_queries_agree(spark, base):
     q = FeatureQueries(spark, base)
     for name, frame, params in (
