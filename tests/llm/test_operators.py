@@ -302,6 +302,18 @@ def test_secrets(spark, docs, nothing):
     assert sum(map(len, secrets_scan.sample(docs, most_bytes=500))) <= 500 and secrets_scan.sample(nothing) == []
 
 
+def test_secret_in_the_middle_of_a_long_run():
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    path = lambda n: "".join(f"/{rng.choice(['home', 'share', 'local', 'project', 'docs'])}" for _ in range(n))
+    net = secrets_scan.fit([(f"see {path(i % 9)}/{key(40)}{path(i % 7)} then" if i % 2 else f"see {path(4)}/page{i % 10} and {path(20)}/part{i % 10}{path(20)} then").encode() for i in range(400)])
+    held = [f"see {path(12)}/{key(20)}_{key(20)}{path(12)} then" for _ in range(50)]
+    assert not any(secrets_scan.base_spans(t) for t in held)  # no fixed pattern has them
+    plain = [f"see {path(12)}/part{i % 10}{path(12)} then" for i in range(50)]
+    found = secrets_scan.find(*joined([t.encode() for t in [*held, *plain]]), net)
+    assert sum(bool(f) for f in found[:50]) >= 45 and sum(bool(f) for f in found[50:]) <= 2
+
+
 def test_field_is_exact():
     rng = np.random.default_rng(0)
     raw, offsets = joined([bytes(rng.choice(list(b"ab c"), size=n)) for n in (0, 1, 5, 40, 700, 3, 0, 900)])
