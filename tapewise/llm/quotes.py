@@ -2,9 +2,9 @@
 
 Lines that begin with ``>`` marks are quoted, as deep as they have marks; what is left is the message's
 own text.  Own texts are indexed by the hashes of their paragraphs and lines, normalised to lower case
-and single spaces.  A message's quoted passages of level 1 are hashed alike and joined, within their
-conversation, to earlier messages; it replies to the latest that it quotes, whole passages first.
-Deeper levels repeat what the quoted message had quoted itself, whose own link has them.  Conversations are then written in the order of replies: a message, then the replies
+and single spaces.  A message's quoted passages of every level are hashed alike and joined, within
+their conversation, to earlier messages; it replies to the latest that it quotes at the shallowest
+level with a match, whole passages first.  What deeper levels match are further links.  Conversations are then written in the order of replies: a message, then the replies
 to it by turn, each with its own; messages that quote nothing known begin threads of their own.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from .common import discard, store
 
 MARKS = re.compile(r"^((?:[ \t]*>)+)[ \t]?")
 THREADS = 256
-PARSED = pa.schema([("own", pa.string()), ("own_hashes", pa.list_(pa.int64())), ("passages", pa.list_(pa.int64())), ("lines", pa.list_(pa.int64()))])
-PARSED_DDL = "own string, own_hashes array<long>, passages array<long>, lines array<long>"
+PARSED = pa.schema([("own", pa.string()), ("own_hashes", pa.list_(pa.int64())), ("quoted", pa.list_(pa.struct([("depth", pa.int32()), ("whole", pa.int32()), ("h", pa.int64())])))])
+PARSED_DDL = "own string, own_hashes array<long>, quoted array<struct<depth:int,whole:int,h:long>>"
 
 
 def normal(text: str) -> str:
@@ -44,28 +45,25 @@ def levels(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def parse(text: str | None) -> tuple[str, list[int], list[int], list[int]]:
-    """Own text without quotes; hashes of its parts; of quoted level-1 passages; of their lines."""
+def parse(text: str | None) -> tuple[str, list[int], list[dict[str, int]]]:
+    """Own text without quotes; hashes of its parts; of quoted passages (whole 1) and their lines (0) with their depths."""
     lines = levels(text or "")
     own = re.sub(r"\n{3,}", "\n\n", "\n".join(x for d, x in lines if d == 0)).strip("\n")
     parts = {normal(own), *(normal(p) for p in re.split(r"\n[ \t]*\n", own)), *(normal(x) for x in own.split("\n"))} - {""}
-    passages, run = [], []
-    for d, x in [*lines, (0, "")]:
-        if d == 1:
-            run.append(x)
-        elif run:
-            passages.append(run)
-            run = []
-    whole = {normal("\n".join(p)) for p in passages} | {normal(q) for p in passages for q in re.split(r"\n[ \t]*\n", "\n".join(p))}
-    single = {normal(x) for p in passages for x in p}
-    return own, sorted(map(key, parts)), sorted(map(key, whole - {""})), sorted(map(key, single - {""}))
+    quoted = set()
+    for depth, run in groupby(lines, lambda x: x[0]):
+        if depth:
+            passage = [x for _, x in run]
+            whole = {normal("\n".join(passage)), *(normal(q) for q in re.split(r"\n[ \t]*\n", "\n".join(passage)))}
+            quoted |= {(depth, 1, key(x)) for x in whole - {""}} | {(depth, 0, key(x)) for x in set(map(normal, passage)) - {""}}
+    return own, sorted(map(key, parts)), [{"depth": d, "whole": w, "h": h} for d, w, h in sorted(quoted)]
 
 
 def parsed(messages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [parse(t) for t in batch.column(3).to_pylist()]
-            columns = [pa.array([g[i] for g in got], PARSED.field(i).type) for i in range(4)]
+            columns = [pa.array([g[i] for g in got], PARSED.field(i).type) for i in range(len(PARSED))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["conv_id", "turn", "role", *PARSED.names])
 
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -73,20 +71,23 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to): the latest earlier message of which a passage, else a line, is quoted."""
-    asks = rows.select("conv_id", "turn", F.explode(F.concat(F.transform("passages", lambda h: F.struct(F.lit(1).alias("whole"), h.alias("h"))), F.transform("lines", lambda h: F.struct(F.lit(0).alias("whole"), h.alias("h"))))).alias("q"))
-    asks = asks.select("conv_id", "turn", F.col("q.whole").alias("whole"), F.col("q.h").alias("h")).distinct()
+    """(conv_id, turn, reply_to, deeper): the latest earlier message of which a passage, else a line, is quoted.
+
+    reply_to is that of the shallowest depth with a match; ``deeper`` has (depth, turn) of all others."""
+    asks = rows.select("conv_id", "turn", F.inline("quoted")).distinct()
     # many messages may say the same ("thanks"): the latest before each asker is what counts, so turns
     # of one sentence are packed and searched, not paired
     said = rows.select("conv_id", "turn", F.explode("own_hashes").alias("h")).join(asks.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
-    both = asks.select("conv_id", "h", "turn", "whole", F.lit(1).alias("asks")).unionByName(said.select("conv_id", "h", "turn", F.lit(0).alias("whole"), F.lit(0).alias("asks")))
+    both = asks.select("conv_id", "h", "turn", "depth", "whole", F.lit(1).alias("asks")).unionByName(said.select("conv_id", "h", "turn", F.lit(0).alias("depth"), F.lit(0).alias("whole"), F.lit(0).alias("asks")))
     earlier = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     met = both.withColumn("origin", F.max(F.when(F.col("asks") == 0, F.col("turn"))).over(earlier)).filter("asks = 1 AND origin IS NOT NULL")
-    return met.groupBy("conv_id", "turn").agg(F.max(F.struct("whole", "origin"))["origin"].alias("reply_to"))
+    of_depth = met.groupBy("conv_id", "turn", "depth").agg(F.max(F.struct("whole", "origin"))["origin"].alias("origin"))
+    found = of_depth.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("depth", F.col("origin").alias("turn")))).alias("found"))
+    return found.select("conv_id", "turn", F.col("found")[0]["turn"].alias("reply_to"), F.slice("found", F.lit(2), F.size("found")).alias("deeper"))
 
 
 def reply_paths(rows: DataFrame, replies: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to, path): the turns from the thread's first message to this one.
+    """(conv_id, turn, reply_to, deeper, path): the turns from the thread's first message to this one.
 
     Pointer doubling: each round joins paths to those of their first messages."""
     start = rows.select("conv_id", "turn").distinct().join(replies, ["conv_id", "turn"], "left")
@@ -94,14 +95,14 @@ def reply_paths(rows: DataFrame, replies: DataFrame) -> DataFrame:
     while now.filter("up IS NOT NULL").limit(1).count():
         above = now.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), F.col("path").alias("p2"), F.col("up").alias("u2"))
         joined = now.join(above, (F.col("conv_id") == F.col("c2")) & (F.col("up") == F.col("t2")), "left")
-        after = store(joined.select("conv_id", "turn", "reply_to", F.when(F.col("p2").isNotNull(), F.concat("p2", "path")).otherwise(F.col("path")).alias("path"), F.col("u2").alias("up")))
+        after = store(joined.select("conv_id", "turn", "reply_to", "deeper", F.when(F.col("p2").isNotNull(), F.concat("p2", "path")).otherwise(F.col("path")).alias("path"), F.col("u2").alias("up")))
         discard(now)
         now = after
     return now.drop("up")
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, reply_to, path, own: each message without quotes and its place.
+    """conv_id, turn, role, reply_to, deeper, path, own: each message without quotes, its links and its place.
 
     One row for each row of ``messages`` (conv_id, turn, role, text; other columns are ignored).  A
     null text is empty; rows with a null conv_id or turn are left without a place (null path) and
@@ -109,7 +110,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     """
     rows = store(parsed(messages))
     paths = reply_paths(rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL"), links(rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL")))
-    return rows.join(paths, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "reply_to", "path", "own")
+    return rows.join(paths, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "reply_to", "deeper", "path", "own")
 
 
 def conversations(messages: DataFrame, threads: int = THREADS) -> DataFrame:

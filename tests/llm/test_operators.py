@@ -242,6 +242,13 @@ def test_quotes(spark):
     assert quotes.conversations(messages.limit(0)).count() == 0
 
 
+def test_deeper_quotes_link(spark):
+    rows = [(1, 0, "a", "first words"), (1, 1, "b", "> first words\nsecond words"), (1, 2, "c", ">> first words\nonly deep"), (1, 3, "d", ">> second words\n> trimmed\nedited"), (1, 4, "e", ">>> first words\n>> second words\n> only deep\nall")]
+    got = {r["turn"]: r for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert {t: r["reply_to"] for t, r in got.items()} == {0: None, 1: 0, 2: 0, 3: 1, 4: 2}
+    assert [tuple(x) for x in got[4]["deeper"]] == [(2, 1), (3, 0)] and got[4]["path"] == [0, 2, 4]
+
+
 def vectors(spark, n=400):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(n)]
