@@ -9,7 +9,7 @@ from .quotes import conversations
 
 
 def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations(table(spark, sf_dir, "conversations"))
+    return conversations(table(spark, sf_dir, "conversations"), placeless=True)
 
 
 QUERIES = {"op3_quotes": op3_quotes}

@@ -113,13 +113,19 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     return rows.join(paths, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "reply_to", "deeper", "path", "own")
 
 
-def conversations(messages: DataFrame, threads: int = THREADS) -> DataFrame:
+def conversations(messages: DataFrame, threads: int = THREADS, placeless: bool = False) -> DataFrame:
     """conv_id, part, n_messages, n_replies, chat: conversations in the order of replies.
 
     A part has the threads whose first turns fall into a range of ``threads`` turns, so that a very
     long conversation is many rows.  Each message is ``<|role|>`` and its own text on lines of their own.
+    Messages with a null conv_id or turn are left out, or with ``placeless`` each is a row with a null part.
     """
-    rows = reply_ordered(messages).filter("path IS NOT NULL").withColumn("part", F.floor(F.col("path")[0] / threads))
+    every = reply_ordered(messages)
+    rows = every.filter("path IS NOT NULL").withColumn("part", F.floor(F.col("path")[0] / threads))
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("own"))
     grouped = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n_messages"), F.count("reply_to").alias("n_replies"), F.array_sort(F.collect_list(F.struct("path", line.alias("line")))).alias("m"))
-    return grouped.select("conv_id", "part", "n_messages", "n_replies", F.array_join(F.transform("m", lambda x: x["line"]), "\n").alias("chat"))
+    chats = grouped.select("conv_id", "part", "n_messages", "n_replies", F.array_join(F.transform("m", lambda x: x["line"]), "\n").alias("chat"))
+    if not placeless:
+        return chats
+    one = lambda n: F.lit(n).cast("long")
+    return chats.unionByName(every.filter("path IS NULL").select("conv_id", F.lit(None).cast("long").alias("part"), one(1).alias("n_messages"), one(0).alias("n_replies"), line.alias("chat")))

@@ -249,6 +249,16 @@ def test_deeper_quotes_link(spark):
     assert [tuple(x) for x in got[4]["deeper"]] == [(2, 1), (3, 0)] and got[4]["path"] == [0, 2, 4]
 
 
+def test_quotes_query_keeps_messages_without_keys(spark, tmp_path):
+    from tapewise.llm.q_quotes import op3_quotes
+
+    rows = [(1, 0, "user", "hi"), (None, 0, "user", "lost"), (None, 0, None, "> hi\nlost too"), (1, None, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [tuple(r) for r in op3_quotes(spark, str(tmp_path)).collect()]
+    want = [(1, 0, 1, 0, "<|user|>\nhi"), (None, None, 1, 0, "<|user|>\nlost"), (None, None, 1, 0, "<||>\nlost too"), (1, None, 1, 0, "<|user|>\n")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def vectors(spark, n=400):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(n)]
