@@ -21,11 +21,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that similarity 0.8 links, the one with the smallest id, once; rows with a null id stay."""
-    classes = ngram_join.similar_documents(docs)
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL")
-    once = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of documents that similarity 0.8 links, the one with the smallest id, once; rows with a null id stay.
+
+    Rows with one id and unlinked texts are kept one for each component, texts without words each."""
+    classes = ngram_join.document_classes(docs).filter("doc_id = component_id")
+    kept = classes.groupBy("doc_id", "component", F.when(F.col("component").isNull(), F.col("text_hash"))).agg(F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash")
+    named = docs.filter("doc_id IS NOT NULL").withColumn("_text", F.xxhash64("text"))
+    once = named.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
     return once.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 

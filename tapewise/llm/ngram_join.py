@@ -153,8 +153,8 @@ def join_sets(ids: np.ndarray, sets: list[np.ndarray], t: Fraction = THRESHOLD,
 
 # ---- over a corpus
 
-SETS_DDL = "doc_id long, n_shingles long, sid long, sid2 long"
-SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("sid2", pa.int64())])
+SETS_DDL = "doc_id long, text_hash long, n_shingles long, sid long, sid2 long"
+SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("sid2", pa.int64())])
 OFFER_DDL = "kind int, sid long, other long, slice int, chunk int, keys binary, values binary"
 OFFER = pa.schema([("kind", pa.int32()), ("sid", pa.int64()), ("other", pa.int64()), ("slice", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
 SIDE_DDL = "chunk int, kind int, sid long, slice int, reply binary"
@@ -162,7 +162,7 @@ EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def document_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, and two hashes of the set, for each row of docs (doc_id, text)."""
+    """doc_id, a hash of the text, n_shingles, and two hashes of the set, for each row of docs (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -170,9 +170,9 @@ def document_sets(docs: DataFrame, n: int = N) -> DataFrame:
             for a, b in slices(offsets):
                 h, bounds = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 one, two = set_hashes(h, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(one), pa.array(two)], schema=SETS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(one), pa.array(two)], schema=SETS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SETS_DDL)
 
 
 def _representatives(docs: pa.Table, side: pa.Table, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -199,6 +199,12 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: Fraction = THRESHO
     a null component and link with nothing; rows with equal ids are judged each by its own text.  An
     empty table gives an empty table.
     """
+    return document_classes(docs, n, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def document_classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Columns of ``similar_documents``, xxhash64 of the row's text, and its component (null: none),
+    which tells rows with equal ids and unlinked texts apart."""
     sets = store(document_sets(docs, n))
     known = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks, parts = X.plan(known)
@@ -272,11 +278,11 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: Fraction = THRESHO
     least = store(least)
     smallest = least.groupBy("root").agg(F.min("rep").alias("component_id"))
     smallest = store(smallest)
-    named = store(least.join(smallest, "root").select(F.col("sid").alias("s1"), F.col("sid2").alias("s2"), "component_id"))
+    named = store(least.join(smallest, "root").select(F.col("sid").alias("s1"), F.col("sid2").alias("s2"), F.col("root").alias("component"), "component_id"))
     for old in (offers, roots, least, smallest):
         discard(old)
     out = sets.join(named, (F.col("sid") == F.col("s1")) & (F.col("sid2") == F.col("s2")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 #: Cells of the frequency sketch: the top 40 bits.

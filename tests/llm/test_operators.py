@@ -386,6 +386,15 @@ def test_classifiers(spark, docs, nothing):
     assert toxicity.fit([], np.zeros(0)).score(*joined([b""]))[0].shape == (1,)
 
 
+def test_rows_with_one_id_and_unlinked_texts_are_kept(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "g h i j k l"), (5, "G h i j k l"), (5, "m n o p q r"), (5, "m n o p q r"), (7, "g h i j k l")]
+    table = spark.createDataFrame([(i, t, "en", "s", 11) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"].lower()) for r in corpus_pipeline.keep_one_of_similar(spark, table, "").collect())
+    assert got == [(1, "a b c d e f"), (5, "g h i j k l"), (5, "m n o p q r")]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from __spark_entry__ import queries
