@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,7 +102,10 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """64-bit polynomial hashes of values[start:end], for many ranges at once."""
+    """64-bit polynomial hashes of values[start:end], for many ranges at once.
+
+    For hashed features only: some pairs of long ranges have equal hashes whatever the base is.  What
+    must not be mixed up takes ``word_hashes`` and ``window_hashes``."""
 
     def __init__(self, values: np.ndarray, salt: int = 0) -> None:
         up, self.down = _power(_BASES[salt], len(values) + 1)
@@ -114,16 +117,65 @@ class Hasher:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts], self.salt + 16 * salt)
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    return Hasher(values, salt)(starts, ends)
+def combined(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A hash of the pairs (a, b), in this order."""
+    return mix(a * U64(0x9E6C63D0876A9A35) + b, salt)
+
+
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U64)
+_STEPS = 64
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of raw[start:end]: length and lanes of 8 bytes, folded one after another.
+
+    Every step goes through a mixer that is no polynomial, so equal hashes are left to chance; salts
+    are independent.  From lane ``_STEPS`` on, a long word's lanes are hashed by their places and added."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+    sizes = ends - starts
+    salt = 3 * salt + 1
+    out = mix(sizes.astype(U64) * U64(0xC2B2AE3D27D4EB4F), salt)
+    live, step = np.flatnonzero(sizes > 0), 0
+    while len(live) and step < _STEPS:
+        left = sizes[live] - 8 * step
+        out[live] = combined(out[live], lanes[starts[live] + 8 * step] & _TAIL[np.minimum(left, 8)], salt)
+        live, step = live[left > 8], step + 1
+    for i in live.tolist():
+        at = np.arange(starts[i] + 8 * _STEPS, ends[i], 8)
+        rest = lanes[at] & _TAIL[np.minimum(ends[i] - at, 8)]
+        places = mix(np.arange(len(at)).astype(U64), salt + 1)
+        out[i] = combined(out[i : i + 1], np.sum(combined(places, rest, salt + 2), dtype=U64, keepdims=True), salt + 1)[0]
+    return out
 
 
 def window_hashes(words: np.ndarray, rows: np.ndarray, width: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``width`` consecutive words of one row, and each window's first word."""
+    """Hashes of ``width`` consecutive words (hashes) of one row, and each window's first word.
+
+    A window is split into runs of powers of two; a run's hash is that of its halves."""
     if len(words) < width:
         return np.zeros(0, U64), np.zeros(0, np.int64)
+    run, span, out, done = words, 1, None, 0
+    while True:
+        if width & span:
+            part = run[done:]
+            out = part if out is None else combined(out[: len(part)], part, salt + 41)
+            done += span
+        if done == width:
+            break
+        run = combined(run[:-span], run[span:], salt + 2 * span)
+        span *= 2
     first = np.flatnonzero(rows[width - 1 :] == rows[: len(rows) - width + 1])
-    return range_hashes(words, first, first + width, salt), first
+    return out[first], first
+
+
+def short_hashes(words: np.ndarray, first: np.ndarray, count: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of ``count`` words (hashes) from ``first`` on, for few words; they differ from those of windows."""
+    out = mix(count.astype(U64), salt + 83)
+    for k in range(int(count.max()) if len(count) else 0):
+        more = np.flatnonzero(count > k)
+        out[more] = combined(out[more], words[first[more] + k], salt + 83)
+    return out
 
 
 def pack_u64(values: np.ndarray) -> bytes:

@@ -5,7 +5,8 @@ feature that is in a third of all documents is one entry of each chunk), sorts
 them by hash and sends every range of hashes, a slice, as one packed row.  A
 slice meets the entries of all chunks, and answers each chunk with one packed
 row in the order in which the chunk has sent them.  No task sees more than a
-chunk or a slice; both numbers grow with the corpus.
+chunk or a slice: their sizes are fixed and their numbers grow with the corpus,
+so that a task takes as much memory at every size.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ SENT = pa.schema([("slice", pa.int32()), ("chunk", pa.int32()), ("keys", pa.bina
 SENT_DDL = "slice int, chunk int, keys binary, values binary"
 REPLY = pa.schema([("chunk", pa.int32()), ("slice", pa.int32()), ("reply", pa.binary())])
 REPLY_DDL = "chunk int, slice int, reply binary"
+CHUNK_BYTES = 2e6
 
 
 def plan(docs: DataFrame, text: str = "text") -> tuple[int, int]:
-    """(chunks, slices) for the bytes of text: chunks of 2 MB to 32 MB, slices of about a million words."""
+    """(chunks, slices) for the bytes of text: chunks of CHUNK_BYTES, slices of about a million words."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    each = min(32e6, max(2e6, 3e6 * math.sqrt(total / 1e9)))
-    return max(1, math.ceil(total / each)), max(16, math.ceil(total / 6e6))
+    return max(1, math.ceil(total / CHUNK_BYTES)), max(16, math.ceil(total / 6e6))
 
 
 def dealt(docs: DataFrame, chunks: int, *columns: str) -> DataFrame:

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .arrays import U64, mix, range_hashes, slices, string_buffers, window_hashes, word_spans
+from .arrays import U64, mix, slices, string_buffers, window_hashes, word_hashes, word_spans
+from .common import bounded_batches, release
 
 WIDTH = 13
 CELL_BITS = 40
@@ -50,7 +51,7 @@ def _windows(docs: pa.Table, width: int, salts: tuple[int, ...]):
         hashes = []
         first = np.zeros(0, np.int64)
         for salt in salts:
-            h, first = window_hashes(range_hashes(part, starts, ends, salt), rows, width, salt)
+            h, first = window_hashes(word_hashes(part, starts, ends, salt), rows, width, salt)
             hashes.append(h)
         yield a, b, rows, first, hashes
 
@@ -152,23 +153,28 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, texts: bool = True) ->
     words; a null doc_id counts as larger than every other; rows with one doc_id are one document,
     so that they never take words from each other; an empty table gives an empty table.
     """
+    bounded_batches(docs.sparkSession)
     chunks, parts = X.plan(docs)
     rows = X.dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chunks, "doc_id", "text")
     by_chunk = lambda: rows.groupBy("chunk")
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         cells, counts = X.sketch(_document_cells(table, width))
+        release()
         return X.send(key[0].as_py(), cells, counts, parts)
 
     def offer(key: tuple[pa.Scalar, ...], table: pa.Table, side: pa.Table) -> pa.Table:
         if not table.num_rows:
             return X.SENT.empty_table()
         _, keys, h2, least, _ = _candidates(table, width, X.replies(_replies(side, 1), np.uint8))
+        release()
         # one key may stand for several windows that differ in h2 only: differences of 0 are fine
         return X.send(key[0].as_py(), keys, np.rec.fromarrays([h2, least], dtype=VALUE) if len(keys) else np.zeros(0, VALUE), parts)
 
     def finish(key: tuple[pa.Scalar, ...], table: pa.Table, side: pa.Table) -> pa.Table:
-        return _removed(table, width, side, texts) if table.num_rows else OUT.empty_table()
+        out = _removed(table, width, side, texts) if table.num_rows else OUT.empty_table()
+        release()
+        return out
 
     counted = by_chunk().applyInArrow(count, X.SENT_DDL).groupBy("slice").applyInArrow(X.totals, X.REPLY_DDL).withColumn("kind", F.lit(1))
     exact = by_chunk().cogroup(counted.groupBy("chunk")).applyInArrow(offer, X.SENT_DDL).groupBy("slice").applyInArrow(_exact, X.REPLY_DDL).withColumn("kind", F.lit(2))

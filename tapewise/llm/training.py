@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices, string_buffers
+from .common import bounded_batches, frugal
 
 #: The bound of a fit: rows of each class, and bytes of text in all.
 SAMPLE_ROWS = 1000
@@ -19,7 +20,8 @@ SAMPLE_BYTES = 6_000_000
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 0) -> tuple[list[bytes], np.ndarray]:
     """(texts, labels) of up to ``rows`` labelled documents of each class, picked by a hash of the id.
 
-    The sample serves fitting only; texts are taken whole as long as they fit into ``most_bytes``.
+    The sample serves fitting only; texts are taken whole, in the order of the hash, and one that does
+    not fit into what is left of ``most_bytes``, or takes more than a twentieth of it, is passed over.
     """
     own = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
@@ -53,4 +55,5 @@ def score_texts(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], list[
                 kept = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in columns]
                 yield pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) for i, c in enumerate([*kept, *(pa.array(g) for g in got)])], schema=schema)
 
-    return docs.select(*columns, *(["text"] if "text" not in columns else [])).mapInArrow(run, ddl)
+    bounded_batches(docs.sparkSession)
+    return docs.select(*columns, *(["text"] if "text" not in columns else [])).mapInArrow(frugal(run), ddl)
