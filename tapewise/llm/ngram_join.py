@@ -2,21 +2,26 @@
 
 Documents are sets of ``n`` consecutive lower-cased words, kept as 64-bit hashes.
 
-1. Equal sets are found by a 128-bit hash and joined by one representative.
-2. Representatives that can have a partner: two sets with Jaccard similarity t share one of their
-   (1 - t) * size + 1 rarest features.  Frequencies come from the sparse sketch of ``exchange``; a
-   feature of a single set has no partner, so most documents drop out here.
-3. Rare features meet in slices; each chunk sends one entry for a feature, so that a feature of a
-   third of all sets is one row a chunk.  Components of what met are the groups to be joined.
-4. Groups are joined in bundles of a few hundred sets, each by an R-tree: a set's features, hashed
-   into ``GROUPS`` groups, are counted; the count vectors are packed into leaves and nodes with
-   their maxima.  The overlap of two sets is at most the sum of the minima of their counts, and the
-   same holds for a set and a node, so nodes, leaves and then single sets are ruled out by
-   ceil(t / (1 + t) * (sizes' sum)).  Pairs that survive are compared exactly, unless earlier links
-   connect them already.
-5. A larger group is cut into blocks; each of them also gets three hubs of the group.  Only where
-   blocks stay apart after that, sets outside the group's largest component meet the other blocks.
-Links make components; a document has that of its set.
+1. Equal sets are found by a 128-bit hash; one representative, numbered, stands for them.
+2. Representatives that can have a partner: two sets with Jaccard similarity t share a feature of the
+   (1 - t) / (1 + t) * size + 1 rarest of the smaller set and of the (1 - t) * size + 1 rarest of the
+   larger one.  Frequencies come from the sparse sketch of ``exchange``; a feature of a single set has
+   no partner, so most documents drop out here.  Sets of one size that share a common text and differ
+   in the rest never meet, unless they are similar.
+3. The sets that have one rare feature are its posting; its smallest set is the posting's hub.  All
+   postings of one hub are a group: similar sets meet in one.  Groups do not chain: a set that shares
+   something with two others does not bring these together.  Those sets of a group ask for which the
+   feature is one of the fewer rarest; the others only answer.
+4. Small groups are joined in bundles, large ones in blocks with three of the group's sets in each,
+   every bundle and block by an R-tree: a set's features, hashed into ``GROUPS`` groups, are counted;
+   the count vectors are packed into leaves and nodes with their maxima.  The overlap of two sets is at
+   most the sum of the minima of their counts, and the same holds for a set and a node, so nodes, leaves
+   and then single sets are ruled out by ceil(t / (1 + t) * (sizes' sum)).  Pairs that survive are
+   compared exactly, unless earlier links connect them already.
+5. Sets outside the largest component of their large group ask again, by pairs of rare features: similar
+   sets share two features of one more of the rarest.  These groups are joined likewise; only one
+   that is still large is joined block by block.
+Verified links make components; a document has that of its set.
 """
 
 from __future__ import annotations
@@ -30,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .arrays import U64, Hasher, lower_ascii, mix, slices, string_buffers, word_spans
-from .common import discard, store
+from .arrays import U64, lower_ascii, mix, short_hashes, slices, string_buffers, window_hashes, word_hashes, word_spans
+from .common import discard, frugal, release, store
 from .graph import components
 
 N, THRESHOLD = 5, Fraction(4, 5)
 GROUPS, LEAF, FAN = 64, 16, 8
-BLOCK_SETS = 200
+BLOCK_SETS = 512
+#: A feature with at least so many sets, as far as the sketch counts, and the tasks that its entries are dealt to.
+HOT, SALTS = 255, 64
 
 
 # ---- sets of hashed n-grams
@@ -46,19 +53,14 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int):
     """(hashes, bounds): each row's sorted distinct n-grams; fewer words than n are one n-gram."""
     raw = lower_ascii(raw)
     starts, ends, rows = word_spans(raw, offsets)
-    words = Hasher(raw)(starts, ends)
+    words = word_hashes(raw, starts, ends)
     count = np.bincount(rows, minlength=len(offsets) - 1)
     first = np.cumsum(count) - count
-    at = Hasher(words)
-    if len(words) >= n:
-        begin = np.flatnonzero(rows[n - 1 :] == rows[: len(rows) - n + 1])
-        h, hr = at(begin, begin + n), rows[begin]
-    else:
-        h, hr = np.zeros(0, U64), np.zeros(0, np.int64)
+    h, begin = window_hashes(words, rows, n)
+    hr = rows[begin]
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
-        # the salt keeps a whole short text apart from n-grams
-        h = np.concatenate((h, at(first[short], first[short] + count[short], 9)))
+        h = np.concatenate((h, short_hashes(words, first[short], count[short])))
         hr = np.concatenate((hr, short))
         order = np.argsort(hr, kind="stable")
         h, hr = h[order], hr[order]
@@ -125,28 +127,33 @@ class RTree:
         return at[np.minimum(self.points[at], q).sum(axis=1) >= need(self.sizes[at] + size)]
 
 
-def join_sets(ids: np.ndarray, sets: list[np.ndarray], t: Fraction = THRESHOLD, queries: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def join_sets(ids: np.ndarray, sets: list[np.ndarray], t: Fraction = THRESHOLD, queries: np.ndarray | None = None, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (id, id) that span the same components as all pairs with similarity t or more.
 
-    With ``queries`` (which sets ask), pairs of two others are left out."""
+    With ``queries`` (which sets ask), pairs of two others are left out.  ``tally`` counts pairs: all,
+    those that the tree leaves, and those compared."""
     up, down = t.numerator, t.numerator + t.denominator
     need = lambda total: -(-up * total // down)
     vectors = count_vectors(sets)
-    tree, root, out = RTree(vectors), list(range(len(sets))), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    tree, label, out = RTree(vectors), np.arange(len(sets)), []
+    seen = np.zeros(3, np.int64)
     for i in range(len(sets)) if queries is None else queries.tolist():
         near = tree.candidates(vectors[i], len(sets[i]), need)
-        for j in np.sort(near).tolist() if queries is not None else np.sort(near[near < i]).tolist():
-            a, b = find(i), find(j)
-            if a != b and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= need(len(sets[i]) + len(sets[j])):
-                root[max(a, b)] = min(a, b)
+        near = near[near < i] if queries is None else near[near != i]
+        seen += (i if queries is None else len(sets) - 1, len(near), 0)
+        near = near[label[near] != label[i]]
+        # the likeliest first: one link settles all sets of a component
+        near = near[np.argsort(-np.minimum(vectors[near], vectors[i]).sum(axis=1), kind="stable")]
+        while len(near):
+            j, near = int(near[0]), near[1:]
+            seen[2] += 1
+            if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= need(len(sets[i]) + len(sets[j])):
+                label[label == label[j]] = label[i]
+                near = near[label[near] != label[i]]
                 out.append((i, j))
+    if tally is not None:
+        for name, n in zip(("pairs", "left", "compared"), seen.tolist()):
+            tally[name] = tally.get(name, 0) + n
     pairs = np.array(out, np.int64).reshape(-1, 2)
     return ids[pairs[:, 0]], ids[pairs[:, 1]]
 
@@ -155,10 +162,10 @@ def join_sets(ids: np.ndarray, sets: list[np.ndarray], t: Fraction = THRESHOLD,
 
 SETS_DDL = "doc_id long, text_hash long, n_shingles long, sid long, sid2 long"
 SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("sid2", pa.int64())])
-OFFER_DDL = "kind int, sid long, other long, slice int, chunk int, keys binary, values binary"
-OFFER = pa.schema([("kind", pa.int32()), ("sid", pa.int64()), ("other", pa.int64()), ("slice", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
-SIDE_DDL = "chunk int, kind int, sid long, slice int, reply binary"
+OFFER_DDL = "node long, keys binary, rare array<long>, n_answer int, n_ask int, n_ask_two int, n_cold int"
+OFFER = pa.schema([("node", pa.int64()), ("keys", pa.binary()), ("rare", pa.list_(pa.int64())), *((c, pa.int32()) for c in ("n_answer", "n_ask", "n_ask_two", "n_cold"))])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+EDGES_DDL = "a long, b long"
 
 
 def document_sets(docs: DataFrame, n: int = N) -> DataFrame:
@@ -172,21 +179,21 @@ def document_sets(docs: DataFrame, n: int = N) -> DataFrame:
                 one, two = set_hashes(h, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(one), pa.array(two)], schema=SETS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SETS_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(frugal(run), SETS_DDL)
 
 
 def _representatives(docs: pa.Table, side: pa.Table, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The chunk's sets that stand for all their copies: ids and features."""
+    """The chunk's sets that stand for all their copies: numbers and features."""
     rows = side.to_pydict()
-    wanted = {s for k, s in zip(rows["kind"], rows["sid"]) if k == 0}
+    wanted = {(s, s2): node for k, s, s2, node in zip(rows["kind"], rows["sid"], rows["sid2"], rows["node"]) if k == 0}
     ids, sets = [], []
     raw, offsets = string_buffers(docs.column("text"))
     for a, b in slices(offsets):
         h, bounds = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-        for i, s in enumerate(set_hashes(h, bounds)[0].tolist()):
-            if s in wanted:
-                wanted.discard(s)
-                ids.append(s)
+        for i, s in enumerate(zip(*(x.tolist() for x in set_hashes(h, bounds)))):
+            node = wanted.pop(s, None)
+            if node is not None:
+                ids.append(node)
                 sets.append(h[bounds[i] : bounds[i + 1]])
     return np.array(ids, np.int64), sets
 
@@ -202,24 +209,42 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: Fraction = THRESHO
     return document_classes(docs, n, threshold).select("doc_id", "n_shingles", "component_id")
 
 
+#: Cells of the frequency sketch: the top 40 bits.
+CELLS = U64((2**64 - 1) ^ (2**24 - 1))
+
+
+def rare_features(s: np.ndarray, seen: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, int, int, int, int]:
+    """(features, n_answer, n_ask, n_ask_two, n_cold) of a set whose features are in ``seen`` sets.
+
+    The features of more than one set among the rarest, in the order that all sets share; how many of
+    them are among those by which the set answers, asks, and asks by pairs; how many are not hot."""
+    answer = len(s) - math.ceil(threshold * len(s)) + 1
+    ask = len(s) - math.ceil(2 * threshold / (1 + threshold) * len(s)) + 1
+    order = np.lexsort((s, seen))[: answer + 1]
+    shared = seen[order] > 1
+    return s[order[shared]], *(int(shared[:k].sum()) for k in (answer, ask, ask + 1)), int((shared & (seen[order] < HOT)).sum())
+
+
 def document_classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> DataFrame:
     """Columns of ``similar_documents``, xxhash64 of the row's text, and its component (null: none),
     which tells rows with equal ids and unlinked texts apart."""
     sets = store(document_sets(docs, n))
-    known = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     chunks, parts = X.plan(known)
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
-    rows = known.withColumn("chunk", at("doc_id"))
-    reps = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2").agg(F.min("doc_id").alias("rep"))
-    reps = store(reps)
+    at = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)).cast("int").alias("chunk")
+    rows = known.select("text", at)
+    reps = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+    # numbers hold once they are stored
+    reps = store(reps.select("sid", "sid2", "rep.*", F.monotonically_increasing_id().alias("node")))
     none = lambda kind: F.lit(None).cast(kind)
-    wanted = reps.select(at("rep").alias("chunk"), F.lit(0).alias("kind"), "sid", none("int").alias("slice"), none("binary").alias("reply"))
-    keep = 1 - threshold
+    wanted = reps.select(at, F.lit(0).alias("kind"), "sid", "sid2", "node", none("int").alias("slice"), none("binary").alias("reply"))
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table, side: pa.Table) -> pa.Table:
         _, found = _representatives(table, side, n)
         cells, counts = X.sketch(np.concatenate([np.zeros(0, U64), *found]) & CELLS)
-        return X.send(key[0].as_py(), cells, counts, parts)
+        out = X.send(key[0].as_py(), cells, counts, parts)
+        release()
+        return out
 
     def offer(key: tuple[pa.Scalar, ...], table: pa.Table, side: pa.Table) -> pa.Table:
         ids, found = _representatives(table, side, n)
@@ -228,121 +253,147 @@ def document_classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOL
         flat = np.concatenate([np.zeros(0, U64), *found])
         cells, _ = X.sketch(flat & CELLS)
         seen = X.estimates(flat & CELLS, cells, counts)
-        at_, kept, feats, owner = 0, [], [], []
-        for i, s in enumerate(found):
-            c = seen[at_ : at_ + len(s)]
-            at_ += len(s)
-            prefix = np.lexsort((s, c))[: math.floor(keep * len(s)) + 1]
-            shared = s[prefix[c[prefix] > 1]]
-            if len(shared):
-                kept.append(i)
-                feats.append(shared)
-                owner.append(np.full(len(shared), ids[i]))
-        f, o = np.concatenate([np.zeros(0, U64), *feats]), np.concatenate([np.zeros(0, np.int64), *owner])
-        order = np.lexsort((o, f))
-        f, o = f[order], o[order]
-        first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1]))) if len(f) else np.zeros(0, np.int64)
-        least = np.repeat(o[first], np.diff(np.append(first, len(f)))) if len(f) else o
-        local = np.unique(np.stack((o, least), axis=1)[o != least], axis=0) if len(f) else np.zeros((0, 2), np.int64)
-        sent = X.send(key[0].as_py(), f[first], o[first], parts)
-        blank = lambda m, kind: pa.nulls(m, kind)
-        tables = [
-            pa.Table.from_arrays([pa.array(np.full(len(kept), 1, np.int32)), pa.array(ids[kept], pa.int64()), pa.array([len(found[i]) for i in kept], pa.int64()), blank(len(kept), pa.int32()), blank(len(kept), pa.int32()), pa.array([found[i].tobytes() for i in kept], pa.binary()), blank(len(kept), pa.binary())], schema=OFFER),
-            pa.Table.from_arrays([pa.array(np.full(len(local), 2, np.int32)), pa.array(local[:, 0]), pa.array(local[:, 1]), *(blank(len(local), OFFER.field(i).type) for i in (3, 4, 5, 6))], schema=OFFER),
-            pa.Table.from_arrays([pa.array(np.full(sent.num_rows, 3, np.int32)), blank(sent.num_rows, pa.int64()), blank(sent.num_rows, pa.int64()), *sent.columns], schema=OFFER),
-        ]
-        return pa.concat_tables(tables)
-
-    def meet(table: pa.Table) -> pa.Table:
-        got = table.to_pydict()
-        keys = np.concatenate([X.received(k) for k in got["keys"]])
-        who = np.frombuffer(b"".join(got["values"]), np.int64)
-        order = np.lexsort((who, keys))
-        k, w = keys[order], who[order]
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        least = np.repeat(w[first], np.diff(np.append(first, len(k))))
-        pairs = np.unique(np.stack((w, least), axis=1)[w != least], axis=0).reshape(-1, 2)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=EDGES)
+        del flat, cells, counts, reply
+        ends = np.cumsum([len(s) for s in found])
+        rare = [rare_features(s, seen[e - len(s) : e], threshold) for s, e in zip(found, ends)]
+        kept = [i for i, r in enumerate(rare) if r[1]]
+        out = [pa.array(ids[kept], pa.int64()), pa.array([found[i].tobytes() for i in kept], pa.binary()), pa.array([rare[i][0].view(np.int64) for i in kept], pa.list_(pa.int64())), *(pa.array([rare[i][j] for i in kept], pa.int32()) for j in (1, 2, 3, 4))]
+        release()
+        return pa.Table.from_arrays(out, schema=OFFER)
 
     counted = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(count, X.SENT_DDL).groupBy("slice").applyInArrow(X.totals, X.REPLY_DDL)
-    counted = counted.select("chunk", F.lit(1).alias("kind"), none("long").alias("sid"), "slice", "reply")
+    counted = counted.select("chunk", F.lit(1).alias("kind"), none("long").alias("sid"), none("long").alias("sid2"), none("long").alias("node"), "slice", "reply")
     offers = store(rows.groupBy("chunk").cogroup(wanted.unionByName(counted).groupBy("chunk")).applyInArrow(offer, OFFER_DDL))
-    met = offers.filter("kind = 3").select("slice", "keys", "values").groupBy("slice").applyInArrow(meet, "a long, b long")
-    groups = components(offers.filter("kind = 2").select(F.col("sid").alias("a"), F.col("other").alias("b")).unionByName(met))
-    cand = offers.filter("kind = 1").select("sid", "keys")
-    linked = links(cand, groups, threshold)
+    linked = links(offers, threshold)
     roots = components(linked)
-    discard(groups)
     # a component's smallest document, then each row's
-    least = reps.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "sid2", "rep", F.coalesce("root", "sid").alias("root"))
-    least = store(least)
-    smallest = least.groupBy("root").agg(F.min("rep").alias("component_id"))
-    smallest = store(smallest)
+    least = store(reps.withColumnRenamed("node", "own").join(roots, F.col("own") == F.col("node"), "left").select("sid", "sid2", F.col("doc_id").alias("rep"), F.coalesce("root", "own").alias("root")))
+    smallest = store(least.groupBy("root").agg(F.min("rep").alias("component_id")))
     named = store(least.join(smallest, "root").select(F.col("sid").alias("s1"), F.col("sid2").alias("s2"), F.col("root").alias("component"), "component_id"))
-    for old in (offers, roots, least, smallest):
+    for old in (offers, linked, roots, least, smallest, reps):
         discard(old)
     out = sets.join(named, (F.col("sid") == F.col("s1")) & (F.col("sid2") == F.col("s2")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", "text_hash", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-#: Cells of the frequency sketch: the top 40 bits.
-CELLS = U64((2**64 - 1) ^ (2**24 - 1))
-
-
-def _bundle(threshold: Fraction):
+def _joined(threshold: Fraction):
     def run(table: pa.Table) -> pa.Table:
-        """Joins the groups of a bundle, each for itself."""
-        group, sid = table.column("grp").to_numpy(), table.column("sid").to_numpy()
-        asks = table.column("asks").to_numpy()
-        keys = table.column("keys").to_pylist()
-        order = np.lexsort((sid, group))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
-            part = part[np.concatenate(([True], sid[part][1:] != sid[part][:-1]))]  # a hub is there twice in its own block
-            if len(part) > 1:
-                x, y = join_sets(sid[part], [np.frombuffer(keys[i], U64) for i in part], threshold, None if asks[part].all() else np.flatnonzero(asks[part]))
-                a.append(x)
-                b.append(y)
-        return pa.Table.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=EDGES)
+        """Joins the sets of one task."""
+        node, asks, keys = table.column("node").to_numpy(), table.column("asks").to_numpy(), table.column("keys")
+        first = np.unique(node, return_index=True)[1]  # a set of several groups, or a hub in its own block
+        asked = np.zeros(len(first), bool)
+        np.logical_or.at(asked, np.searchsorted(node[first], node), asks)
+        sets = [np.frombuffer(keys[i].as_buffer(), U64) for i in first.tolist()]
+        a, b = join_sets(node[first], sets, threshold, None if asked.all() else np.flatnonzero(asked))
+        return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=EDGES)
 
     return run
 
 
-def links(sets: DataFrame, groups: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """Links between sets (sid, keys) of one group of ``groups`` (node, root); see steps 4 and 5."""
-    sizes = store(groups.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("h1"), F.max("node").alias("h2"), F.min_by("node", F.xxhash64("node")).alias("h3")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    bundles = max(1, -(-total // BLOCK_SETS))
-    large = store(sizes.filter(F.col("n") > BLOCK_SETS).withColumn("blocks", F.ceil(F.col("n") / BLOCK_SETS)))
-    n_large = large.count()  # at most the number of sets / BLOCK_SETS
-    sized = large.select(F.col("root").alias("r"), "blocks")
-    placed = groups.join(F.broadcast(sized) if n_large < 100_000 else sized, F.col("root") == F.col("r"), "left").drop("r")
-    placed = placed.withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))))
-    placed = store(placed)
-    own = placed.select("node", F.col("root").alias("grp"), F.when(F.col("block").isNull(), F.struct(F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("root"), F.lit(bundles)).alias("p"), F.lit(0).cast("long").alias("q"))).otherwise(F.struct(F.col("root").alias("g"), F.col("block").alias("p"), F.lit(0).cast("long").alias("q"))).alias("task"))
-    hubs = large.select(F.explode(F.array_distinct(F.array("h1", "h2", "h3"))).alias("node"), F.col("root").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("p"))
-    hubs = hubs.select("node", "grp", F.struct(F.col("grp").alias("g"), "p", F.lit(0).cast("long").alias("q")).alias("task"))
-    dealt = store(own.unionByName(hubs)) if n_large else own
-    task = lambda d: d.join(sets, F.col("node") == F.col("sid")).groupBy("task").applyInArrow(_bundle(threshold), "a long, b long")
-    first = store(task(dealt.withColumn("asks", F.lit(True))))
-    if not n_large:
-        return first
-    # groups whose blocks have not become one component: the rest asks all other blocks
-    inside = placed.filter("block IS NOT NULL")
-    roots = components(first)
-    where = store(inside.join(roots.select(F.col("node").alias("n2"), F.col("root").alias("comp")), F.col("node") == F.col("n2"), "left").select("node", F.col("root").alias("grp"), "block", "blocks", F.coalesce("comp", "node").alias("comp")))
-    counts = where.groupBy("grp", "comp").agg(F.count("*").alias("c"))
-    main = store(counts.groupBy("grp").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select(F.col("grp").alias("g2"), "main"))
-    if not main.limit(1).count():
-        return first
-    open_ = where.join(F.broadcast(main) if n_large < 100_000 else main, F.col("grp") == F.col("g2"))
-    every = open_.select("node", "grp", (F.col("comp") != F.col("main")).alias("rest"), "block", "blocks")
-    every = store(every)
-    rest = every.filter("rest").select("node", "grp", F.pmod(F.xxhash64("node", F.lit(2)), F.greatest(F.lit(1), F.ceil(F.lit(1.0) * F.col("blocks")))).alias("p"), "blocks")
-    present = rest.select("grp", "p").distinct()
-    asking = rest.select("node", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("q"), "p")
-    asked = every.join(present.select(F.col("grp").alias("g3"), "p"), F.col("grp") == F.col("g3")).select("node", "grp", F.col("block").alias("q"), "p")
-    both = asking.withColumn("asks", F.lit(True)).unionByName(asked.withColumn("asks", F.lit(False)))
-    both = both.groupBy("node", "grp", "p", "q").agg(F.max("asks").alias("asks"))
-    more = store(task(both.select("node", "grp", F.struct(F.col("grp").alias("g"), "p", "q").alias("task"), "asks")))
-    return first.unionByName(more)
+def _tasks(members: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links within tasks; members: node, asks, task (group, part, other part)."""
+    return members.join(sets.select(F.col("node").alias("n2"), "keys"), F.col("node") == F.col("n2")).select("task", "node", "asks", "keys").groupBy("task").applyInArrow(_joined(threshold), EDGES_DDL)
+
+
+def _task(group, part, other) -> F.Column:
+    return F.struct(group.cast("long").alias("g"), part.cast("long").alias("p"), other.cast("long").alias("q")).alias("task")
+
+
+def _sized(members: DataFrame) -> tuple[DataFrame, int, int]:
+    """Stored groups of (hub, node) that are larger than BLOCK_SETS, with three of their sets and their
+    numbers of blocks; how many they are; the bundles that the other ones fill."""
+    sizes = store(members.groupBy("hub").agg(F.count("*").alias("n"), F.max("node").alias("h2"), F.min_by("node", F.xxhash64("node")).alias("h3")))
+    bundles = max(1, -(-(sizes.filter(F.col("n") <= BLOCK_SETS).agg(F.sum("n")).first()[0] or 0) // BLOCK_SETS))
+    large = store(sizes.filter(F.col("n") > BLOCK_SETS).select(F.col("hub").alias("h1"), "h2", "h3", F.ceil(F.col("n") / BLOCK_SETS).alias("blocks")))
+    discard(sizes)
+    return large, large.count(), bundles
+
+
+def _near(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n < 100_000 else df
+
+
+def _placed(members: DataFrame, large: DataFrame, n_large: int) -> DataFrame:
+    """members with ``blocks`` and ``block``, null in small groups."""
+    out = members.join(_near(large.select("h1", "blocks"), n_large), F.col("hub") == F.col("h1"), "left").drop("h1")
+    return out.withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))))
+
+
+def _of_bundle(bundles: int) -> F.Column:
+    return _task(F.lit(-1), F.pmod(F.xxhash64("hub"), F.lit(bundles)), F.lit(0))
+
+
+def links(sets: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Links between ``sets`` (rows of OFFER), see steps 3 to 5."""
+    entries = sets.select("node", "n_ask", "n_cold", F.posexplode(F.slice("rare", F.lit(1), F.col("n_answer"))).alias("at", "f"))
+    # entries of hot features are dealt to several tasks; all sets agree on which features are hot
+    hot = F.col("at") >= F.col("n_cold")
+    entries = entries.select("node", "at", "f", hot.alias("hot"), (F.col("at") < F.col("n_ask")).alias("asks"), F.when(hot, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"))
+    hubs = entries.groupBy("f").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.max("hot").alias("hot"), F.max("asks").alias("asked"))
+    hubs = store(hubs.filter("n > 1 AND asked").select("f", "hub", "hot"))
+    salted = hubs.select("f", "hub", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    met = entries.join(salted, ["f", "salt"])
+    members = store(met.groupBy("hub", "node").agg(F.max("asks").alias("asks")))
+    large, n_large, bundles = _sized(members)
+    placed = _placed(members, large, n_large)
+    own = placed.select("node", "asks", F.when(F.col("block").isNull(), _of_bundle(bundles)).otherwise(_task(F.col("hub"), F.col("block"), F.lit(0))).alias("task"))
+    if n_large:
+        hub_rows = large.select(F.explode(F.array_distinct(F.array("h1", "h2", "h3"))).alias("node"), "h1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("p"))
+        own = own.unionByName(hub_rows.select("node", F.lit(True).alias("asks"), _task(F.col("h1"), F.col("p"), F.lit(0))))
+    first = store(_tasks(own.distinct(), sets, threshold))
+    out = first
+    if n_large:
+        rest = _rest(placed, first, n_large)
+        if rest.limit(1).count():
+            out = store(first.unionByName(_by_pairs(sets, met, rest, threshold)))
+            discard(first)
+        discard(rest)
+    for old in (hubs, members, large):
+        discard(old)
+    return out
+
+
+def _rest(placed: DataFrame, found: DataFrame, n_large: int) -> DataFrame:
+    """Stored (hub, node) of large groups outside the group's largest component of ``found`` links."""
+    roots = components(found)
+    inside = placed.filter("block IS NOT NULL").join(roots.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2"), "left").select("hub", "node", F.coalesce("root", "node").alias("comp"))
+    inside = store(inside)
+    main = inside.groupBy("hub", "comp").agg(F.count("*").alias("c")).groupBy("hub").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    out = store(inside.join(_near(main.select(F.col("hub").alias("h1"), "main"), n_large), F.col("hub") == F.col("h1")).filter("comp <> main").select("hub", "node"))
+    discard(inside)
+    discard(roots)
+    return out
+
+
+def _by_pairs(sets: DataFrame, met: DataFrame, rest: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links of the ``rest`` (hub, node) with all sets of their groups, by pairs of rare features.
+
+    Two different sets with similarity above 1/2 share two features at least; below that, the rare
+    feature alone is the key."""
+    two = threshold > Fraction(1, 2)
+    open_ = rest.select("hub").distinct()
+    of_rest = rest.select("hub", "node", F.lit(True).alias("asks"))
+    # features of groups that have a rest, and whether the set is of it
+    pairs = met.drop("asks").join(open_, "hub", "left_semi").join(of_rest, ["hub", "node"], "left").select("node", "f", "at", F.coalesce("asks", F.lit(False)).alias("asks"))
+    both = pairs.join(sets.select(F.col("node").alias("n2"), "rare", "n_ask", "n_ask_two"), F.col("node") == F.col("n2"))
+    if two:
+        later = F.slice("rare", F.col("at") + 2, F.greatest(F.size("rare") - F.col("at") - 1, F.lit(0)))
+        keyed = both.select("node", "asks", "f", "at", "n_ask", "n_ask_two", F.posexplode(later).alias("next", "g"))
+        small = (F.col("at") < F.col("n_ask")) & (F.col("at") + 1 + F.col("next") < F.col("n_ask_two"))
+    else:
+        keyed, small = both.withColumn("g", F.lit(0).cast("long")), F.col("at") < F.col("n_ask")
+    keyed = store(keyed.select("node", "asks", small.alias("small"), F.xxhash64("f", "g").alias("key")))
+    wanted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("asks").alias("asked"), F.max("small").alias("has_small"), F.min("node").alias("hub")).filter("n > 1 AND asked AND has_small").select("key", "hub")
+    members = store(keyed.join(wanted, "key").groupBy("hub", "node").agg(F.max("asks").alias("asks")))
+    large, n_large, bundles = _sized(members)
+    placed = _placed(members, large, n_large)
+    out = _tasks(placed.filter("block IS NULL").select("node", "asks", _of_bundle(bundles)).distinct(), sets, threshold)
+    if n_large:
+        # still large: those that ask, in blocks, meet all blocks
+        inside = store(placed.filter("block IS NOT NULL").select("hub", "node", "asks", "block", "blocks"))
+        all_blocks = lambda: F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        ask = inside.filter("asks").select("node", "asks", "hub", "block", all_blocks().alias("q"))
+        present = inside.filter("asks").select(F.col("hub").alias("h1"), F.col("block").alias("p")).distinct()
+        asked = inside.join(present, F.col("hub") == F.col("h1")).select("node", F.lit(False).alias("asks"), _task(F.col("hub"), F.col("p"), F.col("block")))
+        out = out.unionByName(_tasks(ask.select("node", "asks", _task(F.col("hub"), F.col("block"), F.col("q"))).unionByName(asked), sets, threshold))
+    return out
