@@ -32,6 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 _made: list[str] = []
 
 

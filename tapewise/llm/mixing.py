@@ -11,6 +11,9 @@ rounds is a bijection).  Slots and documents meet in a join by block number.
 
 A source, null included, may hold most rows: documents are numbered within
 buckets of a few thousand, and only sums of buckets are added up by source.
+Rows that repeat each other are counted first and stand one after another.
+Of sources there is one row each, sorted in one task for their weights; all
+else is dealt out.
 """
 
 from __future__ import annotations
@@ -66,8 +69,9 @@ def permuted(index: Column, size: Column, *key: Column) -> Column:
 
 
 def offsets(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs (source, bucket, size, ...) with ``start``: the words of the source before each document."""
-    sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("_sum"))
+    """docs (source, bucket, size, copies, ...) with ``start``: the words of the source before each document."""
+    words = F.col("size") * F.col("copies")
+    sums = docs.groupBy("source", "bucket").agg(F.sum(words).alias("_sum"))
     # two steps, so that no task adds up more than a root of the buckets
     step = max(1, int(buckets**0.5))
     sums = sums.withColumn("_group", (F.col("bucket") / step).cast("long"))
@@ -78,13 +82,13 @@ def offsets(docs: DataFrame, buckets: int) -> DataFrame:
     sums = sums.withColumn("_in", F.coalesce(F.sum("_sum").over(within), F.lit(0)))
     g, s = groups.alias("g"), sums.alias("s")
     base = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source")) & (F.col("s._group") == F.col("g._group"))).select("s.source", "s.bucket", (F.col("_in") + F.col("_base")).alias("_before"))
-    own = Window.partitionBy("source", "bucket").orderBy("doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    d, b = docs.withColumn("_own", F.coalesce(F.sum("size").over(own), F.lit(0))).alias("d"), base.alias("b")
+    own = Window.partitionBy("source", "bucket").orderBy("doc_id", "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    d, b = docs.withColumn("_own", F.coalesce(F.sum(words).over(own), F.lit(0))).alias("d"), base.alias("b")
     joined = d.join(b, F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bucket") == F.col("b.bucket")))
     return joined.select("d.*", (F.col("_own") + F.col("_before")).alias("start")).drop("_own")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, block: int = BLOCK, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, block: int = BLOCK, seed: int = 0, tie: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, slots) of the mix of ``docs`` (doc_id, source, text; other columns are ignored).
 
     documents: doc_id, source, size, source_size, target, taken (words of the document in the mix,
@@ -92,20 +96,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: floa
     ``docs``.  A null text has size 0; null sources are one source; rows with equal ids are separate
     documents; an empty table gives empty results.
     slots: shard, source, slot, block, epoch: what each slot of the mix shows.
-    The same rows, parameters and seed give the same mix, however they are partitioned.
+    The same rows, parameters and seed give the same mix, however they are partitioned.  ``tie`` (long;
+    a hash of the text unless given) tells rows of one id apart: rows equal in it are interchangeable.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (F.xxhash64("text") if tie is None else tie).alias("_tie"))
     spark = docs.sparkSession
     # texts are read once: what follows uses the stored sizes several times
     sized = store(sized)
+    copies = sized.groupBy("doc_id", "source", "size", "_tie").agg(F.count("*").alias("copies"))
     buckets = max(1, -(-sized.count() // BUCKET_ROWS))
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_tie"), F.lit(buckets)))
+    copies = copies.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_tie"), F.lit(buckets)))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
     # a slot shows source_size / blocks words on average; a target at its cap is cap times all blocks
     slots_of = F.when(F.col("source_size") > 0, F.least(F.floor(F.lit(cap) * F.col("blocks")), F.round(F.col("target") * F.col("blocks") / F.col("source_size")))).otherwise(0).cast("long")
     sources = sources.withColumn("n_slots", slots_of).withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy()))
-    placed = offsets(sized, buckets)
+    placed = offsets(copies, buckets)
+    placed = placed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    placed = placed.withColumn("start", F.col("start") + F.col("_copy") * F.col("size")).drop("_copy", "copies")
     p, s = placed.alias("p"), sources.alias("s")
     placed = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source"))).select("p.*", "source_size", "target", "blocks")
     # slots: ranges of a source's slots first, so that a source of any size is spread over tasks
@@ -143,24 +151,29 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
 
     One row for each document and pass over its source in which the mix shows any of its words: the
     text as it is where all its blocks are shown, else the words of the shown blocks, joined by one
-    space.  Documents without words, and those that no slot shows, are left out.
+    space; n_chars, if there, follows the text.  Documents without words (null texts too), and those that
+    no slot shows, are left out.  Null ids and null sources stay; repeated rows are separate documents;
+    rows that differ in any column keep their own; further columns may have any names; an empty table
+    gives an empty table.
     """
-    placed, slots = mix(docs, weights, cap, block, seed)
+    fields = [f"`{c}`" for c in docs.columns]
+    # all columns but the text travel as one, so that no name clashes
+    rows = docs.select(F.struct(*fields).alias("_row"), *[F.col(c) for c in ("doc_id", "source", "text")], F.xxhash64(*[f"`{f.name}`" for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]).alias("_tie"))
+    placed, slots = mix(rows, weights, cap, block, seed, F.col("_tie"))
     parts = placed.filter("size > 0").select("doc_id", "_tie", "source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     a, b = parts.alias("a"), slots.select("source", "block", "epoch").hint("merge").alias("b")
     met = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block")))
     # a document's blocks are as many as its words allow, whatever the source's size
-    shown = met.groupBy("doc_id", "_tie", "start", "size", "epoch").agg(F.array_sort(F.collect_list("a.block")).alias("_shown"))
+    shown = met.groupBy("doc_id", "_tie", "a.source", "start", "size", "epoch").agg(F.array_sort(F.collect_list("a.block")).alias("_shown"))
     all_blocks = F.floor((F.col("start") + F.col("size") - 1) / block) - F.floor(F.col("start") / block) + 1
     shown = shown.withColumn("_whole", F.size("_shown") == all_blocks)
-    key = [F.coalesce("doc_id", F.lit(-1).cast("long")).alias("_k1"), F.col("doc_id").isNull().alias("_k2"), F.col("_tie").alias("_k3")]
-    texts = docs.withColumn("_tie", F.xxhash64("text")).select("*", *key).drop("_tie").dropDuplicates(["_k1", "_k2", "_k3"])
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("_k1"), F.col("doc_id").isNull().alias("_k2"), F.col("_tie").alias("_k3")]
+    texts = rows.select("_row", "text", *key).dropDuplicates(["_k1", "_k2", "_k3"])
     both = texts.join(shown.select(*key, F.col("start").alias("_start"), F.col("size").alias("_size"), "_shown", "_whole").hint("merge"), ["_k1", "_k2", "_k3"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     low = lambda x: F.greatest(x * block - F.col("_start"), F.lit(0))
     high = lambda x: F.least((x + 1) * block - F.col("_start"), F.col("_size"))
     cut = F.array_join(F.flatten(F.transform("_shown", lambda x: F.slice(F.col("_words"), (low(x) + 1).cast("int"), (high(x) - low(x)).cast("int")))), " ")
     both = both.withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+    of = {"text": F.col("text"), **({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    return both.select(*[of.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
