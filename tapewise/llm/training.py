@@ -17,18 +17,18 @@ SAMPLE_ROWS = 1000
 SAMPLE_BYTES = 6_000_000
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 0) -> tuple[list[bytes], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 0, longest: int = SAMPLE_BYTES // 20) -> tuple[list[bytes], np.ndarray]:
     """(texts, labels) of up to ``rows`` labelled documents of each class, picked by a hash of the id.
 
     The sample serves fitting only; texts are taken whole, in the order of the hash, and one that does
-    not fit into what is left of ``most_bytes``, or takes more than a twentieth of it, is passed over.
+    not fit into what is left of ``most_bytes``, or has more than ``longest`` bytes, is passed over.
     """
     own = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     picked = own.filter("_y = 1").orderBy(order).limit(rows).unionByName(own.filter("_y = 0").orderBy(order).limit(rows))
     small = F.broadcast(picked)  # at most 2 * rows ids
     found = docs.select("doc_id", "text").join(small, "doc_id").withColumn("_o", order).groupBy("doc_id", "_y", "_o").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("_n"))
-    got = found.filter(F.col("_n") <= most_bytes // 20).orderBy("_o", "doc_id").select("text", "_y").limit(2 * rows).toArrow().to_pydict()
+    got = found.filter(F.col("_n") <= min(longest, most_bytes)).orderBy("_o", "doc_id").select("text", "_y").limit(2 * rows).toArrow().to_pydict()
     texts, y, used = [], [], 0
     for text, label_of in zip(got["text"], got["_y"]):
         raw = text.encode()

@@ -339,8 +339,59 @@ def test_threshold_keeps_recall_of_hard_secrets():
     net = secrets_scan.fit(texts)
     held = [t for i, t in enumerate(texts) if i % 3 == 2 and i % 4 == 0]
     raw, offsets = joined(held)
-    p = net.probabilities(net.judge(raw, offsets, *secrets_scan.candidates(raw, offsets)))
-    assert net.threshold < 0.5 and np.mean(p >= net.threshold) >= secrets_scan.RECALL
+    starts, ends, rows = secrets_scan.candidates(raw, offsets)
+    p = net.probabilities(net.judge(raw, offsets, starts, ends, rows))
+    assert net.thresholds[2] < 0.5 and np.mean(net.accepted(raw, starts, ends, p)) >= secrets_scan.RECALL
+
+
+def test_secrets_under_other_names():
+    """Findings that no pattern has: other keywords, no keyword, other alphabets; ordinary texts stay clean."""
+    rng = random.Random(8)
+    drawn = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    words = ["ordinary", "sentence", "holding", "longwords", "ABSOLUTELY", "e-mail", "2024-01-05", "192.168.10.12", "mail.person@site.example", "1234567", "something"]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(12))
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    net = secrets_scan.fit([f'{prose()} token = "{hexes()}" {prose()}'.encode() if i % 2 else f"{prose()} {prose()}".encode() for i in range(500)])
+    assert net.held_out[0] >= 0.98 and net.held_out[1] >= 0.95
+    held = [f'{prose()} {name} = "{drawn(30)}" {prose()}' for name in ("credential", "signing", "x") for _ in range(30)] + [f"{prose()} {drawn(32)} {prose()}" for _ in range(30)]
+    assert not any(secrets_scan.base_spans(t) for t in held)
+    found = secrets_scan.find(*joined([t.encode() for t in held]), net)
+    assert np.mean([any(k == 3 and b - a >= 30 for a, k, b, _ in f) for f in found]) >= 0.9
+    clean = secrets_scan.find(*joined([f"{prose()} note: {prose()}".encode() for _ in range(200)]), net)
+    assert sum(map(len, clean)) <= 4
+
+
+def test_network_equals_plain_loops():
+    rng = random.Random(9)
+    net = secrets_scan.Scanner.fresh(5)
+    text = "é " + " ".join("".join(rng.choice("abXY019/_=.") for _ in range(n)) for n in (6, 7, 30, 48, 49, 130))
+    raw, offsets = joined([text.encode(), b"", b"key:value7"])
+    starts, ends, rows = secrets_scan.candidates(raw, offsets)
+    got = net.judge(raw, offsets, starts, ends, rows)
+    side, core, taps = secrets_scan.SIDE, secrets_scan.CORE, secrets_scan.TAPS
+    for s, e, r, z in zip(starts.tolist(), ends.tolist(), rows.tolist(), got.tolist()):
+        low, high, best = offsets[r], offsets[r + 1], -np.inf
+        for begin in [s] if e - s <= core else sorted({*range(s, e - core, core // 2), e - core}):
+            end = min(e, begin + core)
+            at = lambda i, a, b: int(secrets_scan.CLASS[raw[i] if a <= i < b else 0])
+            x = [at(i, low, high) for i in range(s - side, s)] + [at(i, s, e) for i in range(begin, begin + core // 2)] + [at(i, s, e) for i in range(end - core // 2, end)] + [at(i, low, high) for i in range(e, e + side)]
+            fired = [[sum(net.taps[k][x[i + k]][f] for k in range(taps)) + net.bias[f] for f in range(secrets_scan.FILTERS)] for i in range(len(x) - taps + 1)]
+            parts = (0, side), (side, side + core - taps + 1), (side + core - taps + 1, len(fired))
+            act = [max(0.0, max(fired[i][f] for i in range(a, b))) for a, b in parts for f in range(secrets_scan.FILTERS)]
+            best = max(best, float(np.dot(act, net.w) + net.b[0]))
+        assert z == pytest.approx(best, abs=1e-4)
+
+
+def test_candidates_by_brute_force():
+    text = 'plain Words WORDS a1 ab12cd key: abcdef pwd = "hunter" x=longer mid.dle end. Case caSes 123456 ab-cd ünder_score (path/to) "quoted"'
+    raw, offsets = joined([text.encode(), b"abcdef"])
+    got = [bytes(raw[a:b]).decode() for a, b in zip(*secrets_scan.candidates(raw, offsets)[:2])]
+    want = []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", text):
+        odd = re.search(r"[0-9]", m[0]) or re.search(r"[+/_.=-]", m[0][1:-1]) or re.search(r"[A-Z]", m[0][1:])
+        if odd or re.search(r"[:=] ? ?[\"']?$", text[: m.start()]):
+            want.append(m[0])
+    assert got == want and {"ab12cd", "abcdef", "hunter", "x=longer", "mid.dle", "123456", "nder_score", "path/to"} <= set(got)
 
 
 def test_field_is_exact():
