@@ -2,24 +2,30 @@
 
 On a bounded sample a graph of nearest neighbours is cut into balanced parts (bisections along the
 slowest mode of a random walk, then exchanges of pairs that cut fewer edges), and a small network
-learns each vector's part, softened by the parts of its neighbours.  The network then deals every
-vector to one part, and a query to its most probable parts, as many as gave the wished recall on the
-sample; these are searched in full, with exact scores.  Neighbouring parts lie on one shelf, a task's
-work: a query goes there once for all its parts of the shelf, and brings back its k best of them.
+learns each vector's part, softened by the parts of its neighbours; biases keep what it assigns
+balanced.  The network then deals every vector to one part, and a query to its most probable parts, as
+many as gave the wished recall on the sample; these are searched in full, with exact scores.  Where
+``TOP`` parts would have more than ``PART_ROWS`` vectors each, every part is cut again in the same way,
+by a network of its own, fitted on a bounded sample of the part.  Neighbouring parts lie on one shelf, a
+task's work: a query goes there once for all its parts of the shelf, and brings back its k best of them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import pickle
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import store
 from .vectors import HITS, HITS_DDL, best, matrix, spread, top
 
-SAMPLE, NEIGHBOURS, HIDDEN, PART_ROWS, SHELVES, BLOCK_ROWS, RECALL = 4096, 16, 64, 1500, 8, 16384, 0.955
+SAMPLE, NEIGHBOURS, HIDDEN, PART_ROWS, SHELVES, BLOCK_ROWS, RECALL = 4096, 16, 64, 1500, 8, 16384, 0.93
+LEAST_PARTS, TOP = 8, 256
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -78,18 +84,27 @@ class Router:
     w2: np.ndarray
     b2: np.ndarray
     probes: int
+    home_bias: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         y = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-30)
         return np.maximum(y @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The part that each vector is kept in."""
+        return (self.logits(x) + self.home_bias).argmax(axis=1)
+
+    def asked(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The most probable parts of each query."""
+        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :probes]
+
 
 def fit(x: np.ndarray, parts: int, k: int, recall: float = RECALL, seed: int = 0, epochs: int = 60) -> Router:
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
     net = Router(rng.standard_normal((dim, HIDDEN)) * (2 / dim) ** 0.5 * 2, np.zeros(HIDDEN), rng.standard_normal((HIDDEN, parts)) * 0.2, np.zeros(parts), parts)
     if parts == 1 or len(x) < 4 * parts:
-        return net
+        return net  # too few rows to tell parts apart: all are asked
     near = neighbours(x, min(NEIGHBOURS, len(x) - 1))
     label = partition(near, parts, seed)
     soft = np.eye(parts)[label] * 0.5
@@ -110,8 +125,13 @@ def fit(x: np.ndarray, parts: int, k: int, recall: float = RECALL, seed: int = 0
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 part -= 0.01 * (1 - epoch / epochs) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    # parts of one size: what is too large gets a lower bias
+    z, net.home_bias = net.logits(x), np.zeros(parts)
+    for step in range(100):
+        sizes = np.bincount((z + net.home_bias).argmax(axis=1), minlength=parts)
+        net.home_bias -= 0.3 / (1 + step / 10) * z.std() * np.clip(sizes / (len(x) / parts) - 1, -1, 1)
     # as many parts as find the wished share of the sample's own neighbours
-    home = net.logits(x).argmax(axis=1)
+    home = net.home(x)
     ask = rng.permutation(len(x))[:512]
     qi, xi, _ = best(ask, x[ask], np.arange(len(x)), x, min(k, len(x) - 1))
     order = np.argsort(-net.logits(x), axis=1)
@@ -121,53 +141,133 @@ def fit(x: np.ndarray, parts: int, k: int, recall: float = RECALL, seed: int = 0
     return net
 
 
-def search(data: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, recall: float = RECALL, seed: int = 0) -> DataFrame:
+def levels(n: int) -> tuple[int, int]:
+    """(parts, parts of each part): of about PART_ROWS rows, LEAST_PARTS at least."""
+    wanted = max(LEAST_PARTS, 1 << max(0, round(math.log2(max(1, n / PART_ROWS)))))
+    return min(wanted, TOP), min(TOP, max(1, wanted // TOP))
+
+
+@dataclass
+class Index:
+    """The router over parts, and where these are cut again, one router for each part."""
+
+    first: Router
+    parts: int
+    below: dict[int, Router]
+    sub: int
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        at = self.first.home(x)
+        out = at * self.sub
+        for i in np.unique(at).tolist() if self.sub > 1 else []:
+            if i in self.below:
+                out[at == i] += self.below[i].home(x[at == i])
+        return out
+
+    def asked(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, part): sorted pairs; ``probes`` parts, and of each the router's own number of subparts."""
+        at = self.first.asked(x, probes)
+        if self.sub == 1:
+            return np.repeat(np.arange(len(x)), probes), np.sort(at, axis=1).ravel()
+        rows, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.unique(at).tolist():
+            q = np.flatnonzero((at == i).any(axis=1))
+            net = self.below.get(i)
+            sub = net.asked(x[q], net.probes) if net else np.zeros((len(q), 1), np.int64)
+            rows.append(np.repeat(q, sub.shape[1]))
+            parts.append((i * self.sub + sub).ravel())
+        row, part = np.concatenate(rows), np.concatenate(parts)
+        order = np.lexsort((part, row))
+        return row[order], part[order]
+
+
+def _fit_part(sub: int, k: int, recall: float, seed: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x = matrix(table.column("v"))[np.argsort(table.column("o").to_numpy(), kind="stable")[:SAMPLE]]
+        net = pickle.dumps(fit(x, sub, k, recall, seed))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([net], pa.binary())], names=["part", "net"])
+
+    return run
+
+
+def build(data: DataFrame, n: int, k: int, sample: int = SAMPLE, recall: float = RECALL, seed: int = 0) -> Index:
+    """The index of ``data`` (vec_id, v), ``n`` rows, fitted on ``sample`` rows and as many of each part cut again."""
+    parts, sub = levels(n)
+    order = F.xxhash64(F.lit(seed), "vec_id")
+    x = matrix(data.orderBy(order, "v").limit(sample).select("v").toArrow().column(0))
+    each = recall if sub == 1 else recall**0.5
+    index = Index(fit(x, parts, k, each, seed), parts, {}, 1)
+    if sub > 1:
+        net = data.sparkSession.sparkContext.broadcast(index.first)  # some 200 kB
+        # twice the rows that a part's fit takes, by hash; parts are balanced
+        few = data.filter(F.pmod(F.xxhash64(F.lit(seed), F.lit(1), "vec_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 2 * SAMPLE * parts / n)))
+
+        def where(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(net.value.home(matrix(batch.column(0))).astype(np.int32)), batch.column(0), batch.column(1)], names=["part", "v", "o"])
+
+        fitted = few.select("v", order.alias("o")).mapInArrow(where, "part int, v array<double>, o long").groupBy("part").applyInArrow(_fit_part(sub, k, each, seed), "part int, net binary")
+        # TOP routers of at most some 200 kB
+        index.below, index.sub = {r["part"]: pickle.loads(r["net"]) for r in fitted.collect()}, sub
+    return index
+
+
+def search(data: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, recall: float = RECALL, seed: int = 0, told: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``data`` (vec_id, v) for which ``is_query`` holds,
     the k largest inner products found with rows of other ids, ties to the smaller vec_id.
 
-    All rows are indexed; zero vectors take no part.  Rows with equal ids and vectors count once.
-    With too few rows to fill k in the parts that are asked, all parts are.
+    All rows are indexed; zero vectors take no part.  Rows with equal ids and vectors count once; of one
+    id with different vectors each is a vector of its own, and the id's queries share one ranking.
+    Other columns are ignored, whatever their names.  With too few rows to fill k in the parts that are
+    asked, more parts are.  ``told`` is given the number of parts, the share of all (query, vector)
+    pairs that is searched, and the largest part.
     """
-    data = data.filter(F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id", "v"])
+    data = data.select("vec_id", "v", is_query.alias("asks")).filter(F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id", "v"])
     n = data.count()
     spark = data.sparkSession
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    parts = 1 << max(0, min(8, round(np.log2(max(1, n / PART_ROWS)))))
-    x = matrix(data.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(sample).select("v").toArrow().column(0))
-    net = spark.sparkContext.broadcast(fit(x, parts, k, recall, seed))
+    index = build(data, n, k, sample, recall, seed)
+    net, parts = spark.sparkContext.broadcast(index), index.parts * index.sub  # at most 50 MB: see ``build``
 
     def home(batches):
         for batch in batches:
             if batch.num_rows:
-                at = net.value.logits(matrix(batch.column(1))).argmax(axis=1)
+                at = net.value.home(matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32))], names=["vec_id", "v", "part"])
 
-    shelves = min(parts, SHELVES)
+    shelves = min(parts, max(SHELVES, parts // 32))
     shelf = F.floor(F.col("part") * shelves / parts).cast("int")
     indexed = data.select("vec_id", "v").mapInArrow(home, "vec_id long, v array<double>, part int").withColumn("shelf", shelf)
+    if index.sub > 1:
+        indexed = store(indexed)
     sizes = {r[0]: r[1] for r in indexed.groupBy("part").count().collect()}  # parts rows
     # the fewest rows that the probed parts can have must fill k
-    small = np.sort([sizes.get(i, 0) for i in range(parts)])
-    probes = net.value.probes
-    while probes < parts and small[:probes].sum() <= k:
+    smallest = {i: min(sizes.get(i * index.sub + j, 0) for j in range(index.sub)) for i in range(index.parts)}
+    small = np.sort([smallest[i] * (index.below[i].probes if i in index.below else 1) for i in range(index.parts)])
+    probes = index.first.probes
+    while probes < index.parts and small[:probes].sum() <= k:
         probes += 1
-    loads = [sum(n for i, n in sizes.items() if i * shelves // parts == j) for j in range(shelves)]
+    loads = np.bincount([i * shelves // parts for i in sizes], list(sizes.values()), shelves).astype(int).tolist()
     blocks = {j: max(1, -(-n // BLOCK_ROWS)) for j, n in enumerate(loads)}
 
     def route(batches):
         """A row for each query and shelf, with the query's parts there."""
         for batch in batches:
             if batch.num_rows:
-                chosen = np.sort(np.argsort(-net.value.logits(matrix(batch.column(1))), axis=1)[:, :probes], axis=1).ravel()
-                row, at = np.repeat(np.arange(batch.num_rows), probes), chosen * shelves // parts
+                row, chosen = net.value.asked(matrix(batch.column(1)), probes)
+                at = chosen * shelves // parts
                 first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1]))))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(chosen.astype(np.int32)))
                 take = pa.array(row[first])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists, pa.array(at[first].astype(np.int32))], names=["vec_id", "v", "parts", "shelf"])
 
     of = F.create_map(*[F.lit(y) for kv in blocks.items() for y in kv])
-    asked = data.filter(is_query).select("vec_id", "v").mapInArrow(route, "vec_id long, v array<double>, parts array<int>, shelf int")
+    asked = data.filter("asks").select("vec_id", "v").mapInArrow(route, "vec_id long, v array<double>, parts array<int>, shelf int")
+    if told is not None:
+        told |= {"parts": parts, "largest": max(sizes.values()), "rows": n}
+        told["share"] = sum(sizes.get(r[0], 0) * r[1] for r in asked.select(F.explode("parts").alias("p")).groupBy("p").count().collect()) / n / max(1, data.filter("asks").count())
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), of[F.col("shelf")].cast("int") - 1)))
     # a shelf's queries are dealt out too, so that no task has more than some thousands
     n_asked = {r[0]: r[1] for r in asked.groupBy("shelf").count().collect()}

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, column: str = "embedding", id_column: str = "vec_id") -> DataFrame:
-    """(vec_id, v): rows with an id and a vector of finite components, of the commonest length."""
+    """(vec_id, v): rows with an id and a vector of finite components, of the commonest length.
+
+    Vectors of another length, which have no inner product with the rest, take no part; nor do null and
+    empty ones.  Other columns are ignored, whatever their names."""
     v = F.col(column).cast("array<double>")
     fine = F.col(id_column).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out = df.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).filter(F.coalesce(fine, F.lit(False)))
