@@ -1,5 +1,5 @@
 """Column functions of the domain."""
 
-from .market import day, hour, microprice, minute, signed_qty, squared_return
+from .market import arrival_number, day, hour, microprice, minute, signed_qty, squared_return
 
-__all__ = ["day", "hour", "microprice", "minute", "signed_qty", "squared_return"]
+__all__ = ["arrival_number", "day", "hour", "microprice", "minute", "signed_qty", "squared_return"]

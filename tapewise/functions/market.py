@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..schemas import DAY, HOUR, MINUTE
 
 
+def arrival_number(seq: Column) -> Column:
+    """The trade's arrival number; one that has none is an error, as its order is unknown."""
+    return F.coalesce(seq, F.raise_error(F.lit("a trade has no seq: its order of arrival is unknown")).cast("long"))
+
+
 def signed_qty(qty: Column, side: Column) -> Column:
     """Quantity, negative unless bought."""
     return F.when(side == "buy", qty).otherwise(-qty)

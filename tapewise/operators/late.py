@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrival_number
 from ..schemas import LATENESS
 
 #: Trades of a symbol are looked at in runs of this many arrival numbers, so that one busy symbol is many tasks.
@@ -13,7 +14,7 @@ RUN = 1 << 18
 
 def _marked(trades: DataFrame, lateness: int) -> DataFrame:
     """trades with ``late``.  The watermark is the symbol's newest instant so far, 0 at first."""
-    runs = trades.withColumn("_run", F.floor(F.col("seq") / RUN))
+    runs = trades.withColumn("seq", arrival_number(F.col("seq"))).withColumn("_run", F.floor(F.col("seq") / RUN))
     newest = runs.groupBy("symbol", "_run").agg(F.max("ts").alias("_max"))
     earlier = Window.partitionBy("symbol").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     newest = newest.select("symbol", "_run", F.max("_max").over(earlier).alias("_before"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import microprice, signed_qty, squared_return
+from ..functions import arrival_number, microprice, signed_qty, squared_return
 from ..schemas import BOOK, DAY, MINUTE, RV_WINDOWS, VWAP_WINDOWS
 
 
@@ -34,6 +34,7 @@ def rolling_features(trades: DataFrame, vwap: dict[str, int] | None = None, rv:
     stretch = max(stretch, 4 * halo)
     part = F.floor(F.col("ts") / stretch)
     # a trade also serves the next stretch's windows if it is near its end
+    trades = trades.withColumn("seq", arrival_number(F.col("seq")))
     trades = trades.withColumn("_part", F.explode(F.when(F.pmod("ts", F.lit(stretch)) >= stretch - halo, F.array(part, part + 1)).otherwise(F.array(part))))
     by = Window.partitionBy("symbol", "_part")
     order = by.orderBy("ts", "seq")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import minute
 from ..schemas import DAY, FEATURE, HOUR, MINUTE
-from ..sources import scan_features
+from ..sources import scan_features, scan_hour
 
 SQL = {
     "q1": f"""SELECT ts - pmod(ts, {MINUTE}) AS minute_ts, sum(vwap_1m * trade_count_1m) / nullif(sum(trade_count_1m), 0) AS vwap
@@ -21,7 +21,7 @@ FROM features WHERE ts >= :cutoff AND date >= :cutoff div {DAY} GROUP BY symbol
     "q3": f"""SELECT symbol, min(rv_1m) AS rv_min, avg(rv_1m) AS rv_avg, max(rv_1m) AS rv_max, count(*) AS n
 FROM features WHERE ts >= :cutoff AND date >= :cutoff div {DAY} GROUP BY symbol ORDER BY rv_avg DESC, symbol""",
     "q4": f"""SELECT {", ".join(FEATURE.names)} FROM features
-WHERE symbol = :symbol AND ts = :ts AND date = :ts div {DAY} AND hour = (:ts % {DAY}) div {HOUR} LIMIT 1""",
+WHERE symbol = :symbol AND ts = :ts AND date = :ts div {DAY} AND hour = (:ts % {DAY}) div {HOUR} ORDER BY trade_count_1m DESC LIMIT 1""",
     "q5": f"""SELECT ts - pmod(ts, {MINUTE}) AS minute_ts, sum(ofi_1m) AS cumulative_ofi, count(*) AS n_trades
 FROM features WHERE symbol = :symbol AND ts >= :cutoff AND date >= :cutoff div {DAY} GROUP BY 1 ORDER BY 1""",
 }
@@ -31,7 +31,7 @@ class FeatureQueries:
     """Queries over stored feature rows, or over a DataFrame of them."""
 
     def __init__(self, spark: SparkSession, source: str | DataFrame) -> None:
-        self.spark, self.stored = spark, isinstance(source, str)
+        self.spark, self.base = spark, source if isinstance(source, str) else None
         if isinstance(source, str):
             self.rows = scan_features(spark, source)
         else:
@@ -61,9 +61,14 @@ class FeatureQueries:
         return out.orderBy(F.desc("rv_avg"), "symbol")
 
     def q4_point_lookup(self, symbol: str, ts: int) -> DataFrame:
-        """The feature row of a symbol at an instant, or none."""
+        """The feature row of a symbol at an instant, or none; of several, that of the last trade.
+
+        Stored rows are looked up in their one folder."""
         here = (F.col("symbol") == symbol) & (F.col("ts") == ts) & (F.col("date") == ts // DAY) & (F.col("hour") == ts % DAY // HOUR)
-        return self.rows.filter(here).select(*FEATURE.names).limit(1)
+        rows = scan_hour(self.spark, self.base, symbol, ts) if self.base else self.rows
+        if rows is None:
+            return self.spark.createDataFrame([], FEATURE)
+        return rows.filter(here).select(*FEATURE.names).orderBy(F.desc("trade_count_1m")).limit(1)
 
     def q5_ofi_momentum(self, symbol: str, cutoff: int) -> DataFrame:
         """minute_ts, cumulative_ofi, n_trades."""

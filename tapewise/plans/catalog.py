@@ -7,7 +7,6 @@ ones.  ``lineitem``, whose days hold many rows, gives ties.  Computed doubles ar
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import day, hour, microprice, minute, signed_qty
-from ..operators import arrival_features, drop_late, late_totals, rolling_features
+from ..operators import arrival_features, compute_features, drop_late, late_totals, rolling_features
 from ..schemas import DAY, FEATURE, HOUR, MINUTE
-from ..sources import batch_numbers, read_features, synthetic_trades, write_features
+from ..sources import batch_numbers, read_features, read_trades, shared_folder, synthetic_trades, write_features
 from .canonical import FeatureQueries
 
 #: Instants of the queries: events run through January 2024.
@@ -118,7 +117,15 @@ def late_drop_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrival_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arrival_features(_disordered(spark, sf_dir))
+    return _round(arrival_features(_disordered(spark, sf_dir)))
+
+
+def jsonl_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as JSON lines without seq, in files by time, and read back: the lines number them."""
+    base = _base(spark)
+    trades = events_as_trades(spark, sf_dir)
+    trades.repartitionByRange(4, "ts", "seq").sortWithinPartitions("ts", "seq").drop("seq").write.json(base)
+    return _round(compute_features(read_trades(spark, base), "event_time"))
 
 
 def partition_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,21 +146,29 @@ def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _base(spark: SparkSession) -> str:
-    """A new folder for a round trip: in the shared folder where one is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tapewise"
-    return f"{shared}/features-{uuid.uuid4().hex}"
+    """A new folder for a round trip, in the shared folder."""
+    return f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+
+
+_kept: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """Where the feature rows of ``sf_dir`` are stored: once for a session's queries over stored rows."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _kept:
+        base = _base(spark)
+        write_features(_features(spark, sf_dir), base)
+        _kept[key] = base
+    return _kept[key]
 
 
 def storage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _base(spark)
-    write_features(_features(spark, sf_dir), base)
-    return _round(read_features(spark, base).filter(F.col("ts") < CUTOFF))  # all rows are stored; the SQL shows those before CUTOFF
+    return _round(read_features(spark, _stored(spark, sf_dir)).filter(F.col("ts") < CUTOFF))  # all rows are stored; the SQL shows those before CUTOFF
 
 
 def storage_filtered_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _base(spark)
-    write_features(_features(spark, sf_dir), base)
-    return _round(read_features(spark, base, symbol="click", date_from=19724, date_to=19730))  # these days end before the SQL's CUTOFF
+    return _round(read_features(spark, _stored(spark, sf_dir), symbol="click", date_from=19724, date_to=19730))  # these days end before the SQL's CUTOFF
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> FeatureQueries:
@@ -188,14 +203,33 @@ def sql_q2_top_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_queries(spark, sf_dir).canonical("q2", cutoff=CUTOFF))
 
 
+def _stored_sql(name: str, **parameters: object) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _round(FeatureQueries(spark, _stored(spark, sf_dir)).canonical(name, **parameters))
+
+    run.__doc__ = f"The SQL of {name} over stored feature rows."
+    return run
+
+
+STORED_SQL = {
+    "stored_sql_q1": _stored_sql("q1", symbol="click", cutoff=CUTOFF), "stored_sql_q2": _stored_sql("q2", cutoff=CUTOFF), "stored_sql_q3": _stored_sql("q3", cutoff=CUTOFF),
+    "stored_sql_q4": _stored_sql("q4", symbol=POINT[0], ts=POINT[1]), "stored_sql_q5": _stored_sql("q5", symbol="click", cutoff=CUTOFF),
+}
+
+
+def stored_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The point lookup over stored rows, which opens one folder."""
+    return _round(FeatureQueries(spark, _stored(spark, sf_dir)).q4_point_lookup(*POINT))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         trades_projection, signed_quantity, vwap_rolling, rv_rolling, ofi_rolling, trade_count_rolling, book_microprice, feature_rows, minute_bucket, tie_semantics,
-        late_drop_filter, late_drop_total, arrival_mode, partition_derivation, batch_assignment, generated_trades, json_decode, storage_roundtrip, storage_filtered_read,
-        q1_vwap_per_minute, q2_top_symbols, q3_rv_distribution, q4_point_lookup, q4_point_lookup_missing, q5_ofi_momentum, sql_q2_top_symbols,
+        late_drop_filter, late_drop_total, arrival_mode, jsonl_features, partition_derivation, batch_assignment, generated_trades, json_decode, storage_roundtrip, storage_filtered_read,
+        q1_vwap_per_minute, q2_top_symbols, q3_rv_distribution, q4_point_lookup, q4_point_lookup_missing, q5_ofi_momentum, sql_q2_top_symbols, stored_point_lookup,
     )
-}
+} | STORED_SQL
 
 
 # ---- the same in DuckDB's SQL
@@ -266,3 +300,24 @@ CASE WHEN i % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, i AS seq FROM range(1000
     "q5_ofi_momentum": f"WITH {TRADES}, {FEATURES_SQL} SELECT {BUCKET} AS minute_ts, {_r('sum(ofi_1m)')} AS cumulative_ofi, count(*) AS n_trades FROM f WHERE symbol = 'click' AND ts >= {CUTOFF} GROUP BY 1",
 }
 ORACLES["sql_q2_top_symbols"] = ORACLES["q2_top_symbols"]
+ORACLES |= {f"stored_sql_{name[:2]}": ORACLES[name] for name in ("q1_vwap_per_minute", "q2_top_symbols", "q3_rv_distribution", "q4_point_lookup", "q5_ofi_momentum")}
+ORACLES |= {"stored_point_lookup": ORACLES["q4_point_lookup"], "jsonl_features": ORACLES["feature_rows"]}
+
+
+def _arrived(span: int) -> str:
+    """Of each accepted trade: the accepted trades that arrived up to it and are not older than ``span``,
+    with the squared return to the one before in the order of arrival."""
+    return f"""SELECT x.seq AS seq, y.qty AS qty, y.price * y.qty AS pq, CASE WHEN y.side = 'buy' THEN y.qty ELSE -y.qty END AS flow,
+  coalesce(CASE WHEN y.price > 0 AND lag(y.price) OVER o > 0 THEN ln(y.price / lag(y.price) OVER o) ** 2 END, 0.0) AS r2
+  FROM a x JOIN a y ON x.symbol = y.symbol AND y.seq <= x.seq AND y.ts >= x.ts - {span} WINDOW o AS (PARTITION BY x.symbol, x.seq ORDER BY y.seq)"""
+
+
+def _arrival(name: str, span: int) -> str:
+    return f"{name} AS (SELECT seq, sum(pq) / nullif(sum(qty), 0) AS vwap, sum(r2) AS rv, sum(flow) AS ofi, count(*) AS n FROM ({_arrived(span)}) GROUP BY seq)"
+
+
+ORACLES["arrival_mode"] = f"""WITH {TRADES}, d AS (SELECT * REPLACE (seq - seq % 7 + (seq % 7 * 3) % 7 AS seq) FROM t),
+a AS (SELECT * FROM (SELECT *, greatest(max(ts) OVER (PARTITION BY symbol ORDER BY seq), 0) AS mark FROM d) WHERE ts >= mark - 2000000000),
+{_arrival("m1", MINUTE)}, {_arrival("m5", 5 * MINUTE)}, {_arrival("m15", 15 * MINUTE)}
+SELECT a.ts, a.symbol, {_r("m1.vwap")} AS vwap_1m, {_r("m5.vwap")} AS vwap_5m, {_r("m15.vwap")} AS vwap_15m, {_r("m1.rv")} AS rv_1m, {_r("m5.rv")} AS rv_5m,
+  {_r("m1.ofi")} AS ofi_1m, CAST(NULL AS DOUBLE) AS microprice, m1.n AS trade_count_1m FROM a JOIN m1 USING (seq) JOIN m5 USING (seq) JOIN m15 USING (seq)"""

@@ -27,7 +27,12 @@ class FeatureStore:
 
     def refresh(self) -> int:
         """Loads the cache; the number of rows in it."""
-        self.cache = {(r["symbol"], r["ts"]): r.asDict() for r in self._hot().toLocalIterator()}
+        cache: dict[tuple[str, int], dict] = {}
+        for r in self._hot().toLocalIterator():
+            old = cache.get((r["symbol"], r["ts"]))
+            if old is None or old["trade_count_1m"] < r["trade_count_1m"]:  # of one instant, the last trade's row
+                cache[r["symbol"], r["ts"]] = r.asDict()
+        self.cache = cache
         self.loaded_at = time.monotonic()
         return len(self.cache)
 
@@ -61,5 +66,3 @@ class FeatureStore:
     def health(self) -> dict:
         age = float("inf") if self.loaded_at is None else time.monotonic() - self.loaded_at
         return {"status": "ok", "cache_rows": len(self.cache), "cache_age_s": age}
-
-

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import day, hour
-from ..schemas import FEATURE, STORED
+from ..schemas import DAY, FEATURE, HOUR, STORED
 
 KEYS = ("symbol", "date", "hour")
 
@@ -35,6 +36,27 @@ def read_features(spark: SparkSession, base: str, symbol: str | None = None, dat
     return rows.select(*FEATURE.names)
 
 
+def scan_hour(spark: SparkSession, base: str, symbol: str, ts: int) -> DataFrame | None:
+    """Feature rows of the one folder that can hold a symbol's instant, or None: nothing else is listed."""
+    jvm = spark._jvm
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(symbol)
+    folder = f"{base.rstrip('/')}/symbol={escaped}/date={ts // DAY}/hour={ts % DAY // HOUR}"
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(STORED).option("basePath", base).parquet(folder)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.gettempdir()}/tapewise-checkpoints"
+    return folder
+
+
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """One Parquet file."""
     return spark.read.parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -29,15 +30,18 @@ class FeatureProcessor(StatefulProcessor):
         self.mark = handle.getValueState("mark", MARK)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        state = SymbolState([(int(t), float(p), float(q), float(f)) for t, p, q, f in self.trades.get()])
+        state, kept = SymbolState(), list(self.trades.get())
+        if kept:
+            ts, *rest = zip(*kept)
+            state.trades = [np.array(ts, np.int64), *(np.array(x, np.float64) for x in rest)]
         if self.mark.exists():
             mark, late = self.mark.get()
             state.watermark, state.late = int(mark), int(late)
         # a micro-batch's rows may come in pieces; arrival order is that of seq over all of them
         out = replay(state, key[0], pd.concat(list(rows), ignore_index=True))
-        self.trades.put([tuple(x) for x in state.trades]) if state.trades else self.trades.clear()
+        self.trades.put(list(zip(*(x.tolist() for x in state.trades)))) if len(state.trades[0]) else self.trades.clear()
         self.mark.update((state.watermark, state.late))
-        yield pd.DataFrame([{**r, "late_drop_total": state.late} for r in out], columns=OUT.names)
+        yield out.assign(late_drop_total=state.late)[OUT.names]
 
     def close(self) -> None:
         pass

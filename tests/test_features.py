@@ -98,3 +98,31 @@ def test_same_instant_returns_can_be_off(spark):
     rows = trades(spark, [(0, 100, 1, "buy"), (0, 110, 1, "buy")])
     assert max(r["rv_1m"] for r in compute_features(rows, "event_time", same_ts_returns=False).collect()) == 0
     assert MINUTE == 60 * SECOND
+
+
+def test_arrival_by_brute_force(spark):
+    """Trades out of order by up to three seconds, over the edges of stretches."""
+    rng = random.Random(7)
+    t, rows = 3500.0, []
+    for _ in range(900):
+        t += rng.choice([0, 0.3, 0.9, 2, 15])
+        rows.append((t - rng.choice([0, 0, 0.5, 1.9, 2.0, 3.1]), rng.choice([0.0, 90.0, 101.0, 99.5]), rng.choice([0, 0.5, 2]), rng.choice(["buy", "sell"]), rng.choice("AB")))
+    out = {(r["symbol"], r["ts"], r["trade_count_1m"], round(r["ofi_1m"], 6)): r for r in compute_features(trades(spark, rows), "arrival", stretch=1).collect()}
+    kept, marks, n = {"A": [], "B": []}, {"A": 0, "B": 0}, 0
+    for t, p, q, side, s in rows:
+        ts = B + int(t * SECOND)
+        if ts < marks[s] - 2 * SECOND:
+            continue
+        marks[s] = max(marks[s], ts)
+        kept[s].append((ts, float(p), float(q), q if side == "buy" else -q))
+        w = {m: [x for x in kept[s] if x[0] >= ts - m * MINUTE] for m in (1, 5, 15)}
+        r = out[s, ts, len(w[1]), round(sum(x[3] for x in w[1]), 6)]
+        n += 1
+        for m in (1, 5, 15):
+            volume = sum(x[2] for x in w[m])
+            assert (r[f"vwap_{m}m"] is None) == (volume == 0)
+            if volume:
+                assert r[f"vwap_{m}m"] == pytest.approx(sum(x[1] * x[2] for x in w[m]) / volume, abs=1e-9)
+            if m < 15:
+                assert r[f"rv_{m}m"] == pytest.approx(sum(math.log(b[1] / a[1]) ** 2 for a, b in zip(w[m], w[m][1:]) if a[1] > 0 and b[1] > 0), abs=1e-9)
+    assert n == compute_features(trades(spark, rows), "arrival").count() < len(rows)

@@ -1,6 +1,9 @@
 """Files, batches, storage, queries, serving and streams."""
 
 import json
+import socket
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,8 @@ from tapewise.operators import compute_features
 from tapewise.plans import FeatureQueries, catalog
 from tapewise.schemas import DAY, FEATURE, HOUR, MINUTE
 from tapewise.serving import FeatureStore
-from tapewise.sources import batch_numbers, measure_write, read_features, read_trades, stream_trades, synthetic_trades, trades_from_rows, validated, write_features
+from tapewise.sources import Replay, batch_numbers, measure_write, micro_batches, read_features, read_file, read_trades, scan_hour, socket_trades, stream_dead_letters, stream_trades, synthetic_trades, trades_from_rows, validated, write_features
+from tapewise.sources.live import CLOSE, PING, TEXT, Connection, frame, trade
 from tapewise.streaming import stream_features
 
 B = 1_700_000_000_000_000_000
@@ -43,6 +47,92 @@ def test_json_lines(spark, tmp_path):
     assert validated(spark.read.json(str(tmp_path / "bad.jsonl")), reject=False).count() == 0
 
 
+def lines_of(rows):
+    return "".join(json.dumps(dict(zip(("ts", "symbol", "price", "qty", "side"), r))) + "\n" for r in rows)
+
+
+def test_lines_without_seq_are_numbered(spark, tmp_path):
+    """File by file and line by line, also where a file is read in many blocks."""
+    rows = [(B + (i * 7919 % 500) * 10**9, "X", 1.0 + i, 1.0, "buy") for i in range(3000)]
+    for k in range(3):
+        (tmp_path / f"part-{k}.jsonl").write_text(lines_of(rows[k * 1000 : (k + 1) * 1000]).replace("\n", "\n\n" if k == 1 else "\n"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = read_trades(spark, str(tmp_path)).orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["price"] for r in got] == [r[2] for r in rows] and len({r["seq"] for r in got}) == 3000
+    few = [(B + t * 10**9, "S", 1.0, 1.0, "buy") for t in (0, 10, 9, 7, 8)]
+    (tmp_path / "few.jsonl").write_text(lines_of(few))
+    for mode in ("event_time", "arrival"):
+        assert compute_features(read_trades(spark, str(tmp_path / "few.jsonl")), mode).count() == 4
+    assert compute_features(read_trades(spark, str(tmp_path / "few.jsonl")), "arrival").filter("trade_count_1m = 3").first()["ts"] == B + 9 * 10**9
+
+
+@pytest.mark.parametrize("mode", ["event_time", "arrival"])
+def test_trades_without_seq_are_an_error(spark, mode):
+    rows = trades_from_rows(spark, [(B, "S", 1.0, 1.0, "buy")]).withColumn("seq", F.lit(None).cast("long"))
+    with pytest.raises(Exception, match="no seq"):
+        compute_features(rows, mode).collect()
+
+
+def test_streams_pass_over_bad_lines(spark, tmp_path):
+    good = [(B + t * 10**9, "S", 1.0, 1.0, "buy") for t in range(5)]
+    bad = ["{", '{"ts": 1}', json.dumps({"ts": B, "symbol": "S", "price": 1.0, "qty": 1.0, "side": "hold"})]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text(lines_of(good[:3]) + "\n".join(bad) + "\n\n" + lines_of(good[3:]))
+    stream = stream_trades(spark, str(tmp_path / "in"), number_lines=True)
+    stream_features(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()
+    assert [(r["ts"], r["trade_count_1m"], r["ofi_1m"]) for r in got] == [(g[0], i + 1, i + 1.0) for i, g in enumerate(good)]
+    letters = stream_dead_letters(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("letters").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "check2")).start()
+    letters.awaitTermination()
+    assert sorted(r["value"] for r in spark.table("letters").collect()) == sorted(bad)
+    assert sorted(r["_corrupt_record"] for r in read_trades(spark, str(tmp_path / "in"), dead_letters=True).filter("_corrupt_record IS NOT NULL").collect()) == sorted(bad)
+
+
+def test_micro_batches(spark, tmp_path):
+    seen = []
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.jsonl").write_text(lines_of([(B + k, "S", 1.0, 1.0, "buy")] * 2))
+    micro_batches(stream_trades(spark, str(tmp_path / "in"), max_files=1), lambda batch, n: seen.append(batch.count()), str(tmp_path / "check"), drain=True).awaitTermination()
+    assert [n for n in seen if n] == [2, 2, 2]
+
+
+def test_socket_and_replay(spark, tmp_path):
+    """A file served over a WebSocket comes in as a stream, in its order, bad messages aside."""
+    rows = [(B + i * 10**8, "S", 100.0 + i, 1.0, "buy" if i % 2 else "sell") for i in range(40)]
+    text = lines_of(rows)
+    (tmp_path / "a.jsonl").write_text(text[: text.index("\n") + 1] + "no trade\n" + text[text.index("\n") + 1 :])
+    with Replay(str(tmp_path / "a.jsonl"), speed=20.0) as server:
+        stream = socket_trades(spark, server.url, max_rows=15)
+        query = stream.writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "check")).start()
+        try:
+            for _ in range(120):
+                if query.exception() or spark.table("live").count() >= 40:
+                    break
+                time.sleep(0.5)
+        finally:
+            query.stop()
+    got = spark.table("live").orderBy("seq").collect()
+    assert [(r["ts"], r["symbol"], r["price"], r["qty"], r["side"]) for r in got] == rows and [r["seq"] for r in got] == list(range(40))
+
+
+def test_frames():
+    """Long, cut, masked and control frames."""
+    a, b = socket.socketpair()
+    left, right = Connection(a, True), Connection(b, False)
+    for body in (b"x", b"y" * 300, b"z" * 70_000):
+        threading.Thread(target=left.send, args=(TEXT, body)).start()
+        assert next(right.messages(time.monotonic() + 5)) == body
+    a.sendall(bytes([TEXT, 2]) + b"ab" + frame(PING, b"hi", True) + bytes([0x80, 1]) + b"c" + frame(CLOSE, b"", True))
+    assert list(right.messages(time.monotonic() + 5)) == [b"abc"] and not right.open
+    assert list(left.messages(time.monotonic() + 0.2)) == [] and left.open
+    assert trade(b'{"ts": 1, "symbol": "S", "price": 2, "qty": 3, "side": "buy"}') == (1, "S", 2.0, 3.0, "buy", None, None, None, None)
+    assert trade(b"[]") is None and trade(b'{"ts": 1}') is None and trade(b"{") is None
+
+
 def test_batches(spark):
     sizes = lambda n, k: [r["count"] for r in batch_numbers(synthetic_trades(spark, n), k).groupBy("batch").count().orderBy("batch").collect()]
     assert sizes(10, 5) == [5, 5] and sizes(7, 5) == [5, 2] and sizes(0, 5) == []
@@ -51,7 +141,7 @@ def test_batches(spark):
 def test_columns(spark):
     r = spark.range(1).select(day(F.lit(B)).alias("d"), hour(F.lit(B)).alias("h"), *[minute(F.lit(B + s * 10**9)).alias(f"m{s}") for s in (20, 30, 79)], microprice(*(F.lit(float(x)) for x in (99, 2, 101, 1))).alias("p"), microprice(F.lit(1.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("z")).first()
     assert (r["d"], r["h"]) == (19675, 22)
-    assert [r["m20"], r["m30"], r["m79"]] == [B - 20 * 10**9 + 0 * MINUTE] * 0 + [(B + s * 10**9) // MINUTE * MINUTE for s in (20, 30, 79)]
+    assert [r["m20"], r["m30"], r["m79"]] == [(B + s * 10**9) // MINUTE * MINUTE for s in (20, 30, 79)]
     assert r["p"] == pytest.approx(100.33333333333333) and r["z"] is None
 
 
@@ -77,6 +167,7 @@ def test_storage_queries_store_all_rows(spark, tmp_path, monkeypatch, name):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
     monkeypatch.setattr(catalog, "_base", lambda _: str(tmp_path / "all"))
+    monkeypatch.setattr(catalog, "_kept", {})
     got = catalog.QUERIES[name](spark, folder)
     every = catalog._features(spark, folder).select(*FEATURE.names).collect()
     assert sorted(map(str, read_features(spark, str(tmp_path / "all")).collect())) == sorted(map(str, every))
@@ -103,6 +194,17 @@ def test_serving(spark, base):
     assert s.lookup("AAA", B)["source"] == "cache" and s.lookup("AAA", B + 1) is None
     cold = FeatureStore(spark, base, most_rows=0)
     assert cold.lookup("AAA", B)["source"] == "parquet" and cold.health()["status"] == "ok"
+    assert cold.lookup("AAA", B + 10 * DAY) is None and scan_hour(spark, base, "AAA", B + 10 * DAY) is None
+    files = scan_hour(spark, base, "AAA", B).inputFiles()
+    assert len(files) == 1 and "symbol=AAA" in files[0] and read_file(spark, files[0]).count() >= 1
+
+
+def test_of_one_instant_the_last_trade_is_served(spark, tmp_path):
+    odd = "a/b=c d"
+    write_features(compute_features(trades_from_rows(spark, [(B, odd, 1.0, 1.0, "buy"), (B, odd, 3.0, 1.0, "buy"), (B, odd, 5.0, 1.0, "sell")])), str(tmp_path / "one"))
+    hot, cold = FeatureStore(spark, str(tmp_path / "one")), FeatureStore(spark, str(tmp_path / "one"), most_rows=0)
+    assert hot.lookup(odd, B)["source"] == "cache" and cold.lookup(odd, B)["source"] == "parquet"
+    assert hot.lookup(odd, B)["trade_count_1m"] == cold.lookup(odd, B)["trade_count_1m"] == 3
 
 
 def test_stream_equals_batch(spark, tmp_path):
