@@ -15,7 +15,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     field = toxicity.train(docs, labels.filter(remainder("doc_id", 4) != 2))
     tagged = toxicity.tag(docs, field)
-    return tagged.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+    offending = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")  # start:end, code points
+    return tagged.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"), offending.alias("spans"))
 
 
 QUERIES = {"op4_toxicity": op4_toxicity}
