@@ -24,15 +24,22 @@ LAGS = range(2, 25)
 TRAIN_CHUNKS = 8
 
 
-def repeats(raw: np.ndarray) -> np.ndarray:
-    """At each byte: of the 32 bytes from here, how many equal the one ``lag`` before, at the best lag."""
+def repeats(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """At each byte: of the 32 bytes from here, how many equal the one ``lag`` before, at the best lag within the document."""
     best = np.zeros(len(raw), np.uint8)
+    sizes = np.diff(offsets)
+    longest = LAGS[-1]
+    # how far back each byte's document goes, up to the longest lag
+    back = np.full(len(raw), longest, np.uint8)
+    for k in range(longest):
+        back[offsets[:-1][sizes > k] + k] = k
     for lag in LAGS:
         if len(raw) < lag + 32:
             break
         run = (raw[lag:] == raw[:-lag]).view(np.uint8)
         for step in (1, 2, 4, 8, 16):
             run = run[:-step] + run[step:]
+        run = run * (back[lag : lag + len(run)] >= lag)
         np.maximum(best[lag : lag + len(run)], run, out=best[lag : lag + len(run)])
     return best
 
@@ -50,7 +57,7 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     short = np.flatnonzero(end - start < CHUNK)
     if len(short):
         x[short] *= np.arange(CHUNK)[None, :] < (end - start)[short, None]
-    plane = np.concatenate((repeats(raw), np.zeros(CHUNK, np.uint8)))
+    plane = np.concatenate((repeats(raw, offsets), np.zeros(CHUNK, np.uint8)))
     places = np.arange(0, CHUNK - TAPS + 1, STRIDE)
     r = plane[start[:, None] + places[None, :]]
     r[(places[None, :] + 32) > (end - start)[:, None]] = 0
