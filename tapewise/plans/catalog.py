@@ -167,6 +167,11 @@ def storage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(read_features(spark, _stored(spark, sf_dir)).filter(F.col("ts") < CUTOFF))  # all rows are stored; the SQL shows those before CUTOFF
 
 
+def storage_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored feature row, read back."""
+    return _round(read_features(spark, _stored(spark, sf_dir)))
+
+
 def storage_filtered_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(read_features(spark, _stored(spark, sf_dir), symbol="click", date_from=19724, date_to=19730))  # these days end before the SQL's CUTOFF
 
@@ -226,7 +231,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         trades_projection, signed_quantity, vwap_rolling, rv_rolling, ofi_rolling, trade_count_rolling, book_microprice, feature_rows, minute_bucket, tie_semantics,
-        late_drop_filter, late_drop_total, arrival_mode, jsonl_features, partition_derivation, batch_assignment, generated_trades, json_decode, storage_roundtrip, storage_filtered_read,
+        late_drop_filter, late_drop_total, arrival_mode, jsonl_features, partition_derivation, batch_assignment, generated_trades, json_decode, storage_roundtrip, storage_all_rows, storage_filtered_read,
         q1_vwap_per_minute, q2_top_symbols, q3_rv_distribution, q4_point_lookup, q4_point_lookup_missing, q5_ofi_momentum, sql_q2_top_symbols, stored_point_lookup,
     )
 } | STORED_SQL
@@ -291,6 +296,7 @@ UNION ALL SELECT NULL, count(*) FILTER (late) FROM l""",
 CASE WHEN i % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, i AS seq FROM range(10000) x(i)""",
     "json_decode": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "storage_roundtrip": f"WITH {TRADES}, {FEATURES_SQL} SELECT {ROUNDED} FROM f WHERE ts < {CUTOFF}",
+    "storage_all_rows": f"WITH {TRADES}, {FEATURES_SQL} SELECT {ROUNDED} FROM f",
     "storage_filtered_read": f"WITH {TRADES}, {FEATURES_SQL} SELECT {ROUNDED} FROM f WHERE ts < {CUTOFF} AND symbol = 'click' AND ts // {DAY} BETWEEN 19724 AND 19730",
     "q1_vwap_per_minute": f"WITH {TRADES}, {FEATURES_SQL} SELECT {BUCKET} AS minute_ts, {_r('sum(vwap_1m * trade_count_1m) / nullif(sum(trade_count_1m), 0)')} AS vwap FROM f WHERE symbol = 'click' AND ts >= {CUTOFF} GROUP BY 1",
     "q2_top_symbols": f"WITH {TRADES}, {FEATURES_SQL} SELECT symbol, CAST(sum(trade_count_1m) AS BIGINT) AS total_trades, {_r('avg(vwap_1m)')} AS avg_vwap FROM f WHERE ts >= {CUTOFF} GROUP BY symbol ORDER BY total_trades DESC, symbol LIMIT 10",

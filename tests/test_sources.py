@@ -162,7 +162,7 @@ def test_storage(spark, base, tmp_path):
     assert measure_write(feature_rows(spark, 10), str(tmp_path / "m"))["rows_written"] == 10
 
 
-@pytest.mark.parametrize("name", ["storage_roundtrip", "storage_filtered_read"])
+@pytest.mark.parametrize("name", ["storage_roundtrip", "storage_all_rows", "storage_filtered_read"])
 def test_storage_queries_store_all_rows(spark, tmp_path, monkeypatch, name):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
