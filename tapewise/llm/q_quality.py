@@ -1,4 +1,4 @@
-"""Query op10_quality.  SQL cannot express a network; tests hold it to its accuracy on held-out rows."""
+"""Query op10_quality.  SQL cannot express a network; tests hold it to plain loops and to its accuracy on held-out rows."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Query op3_quotes.  Tests compare it with brute force on a fixture that quotes."""
+"""Query op3_quotes.  Tests compare it with brute force on random nested conversations, as the tables quote nothing."""
 
 from __future__ import annotations
 

@@ -160,6 +160,10 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 0, epochs: int = 14, batc
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = T.SAMPLE_ROWS, most_bytes: int = T.SAMPLE_BYTES, seed: int = 0) -> Network:
+    """The network fitted on a sample of labelled rows, bounded by ``rows`` of each class and ``most_bytes`` of text.
+
+    Null ids and labels other than 0 and 1 are left out; of an id's labels the largest counts, of its texts
+    the largest; a null text is empty.  Without both labels the network gives every document one probability."""
     return fit(*T.sample(docs, labels, label, rows, most_bytes, seed), seed=seed)
 
 

@@ -198,6 +198,11 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float = 0.1, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = T.SAMPLE_ROWS, most_bytes: int = T.SAMPLE_BYTES, seed: int = 0) -> Field:
+    """The field fitted on a sample of labelled rows, bounded by ``rows`` of each class and ``most_bytes`` of text.
+
+    The share of label 1 is that of all ``labels``.  Null ids and labels other than 0 and 1 are left out;
+    of an id's labels the largest counts, of its texts the largest; a null text is empty.  Without both
+    labels, or with fewer than 8 texts, the field gives every document the prior."""
     share = labels.filter(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     return fit(*T.sample(docs, labels, label, rows, most_bytes, seed), prior=min(0.9, max(0.01, share if share is not None else 0.1)))
 
