@@ -4,7 +4,7 @@ A window of a trade is all of its symbol's trades from ``span`` before it (inclu
 the order of (ts, seq).  A sliding frame would be added up anew for each row; here every window is the
 difference of two growing frames,
 
-* rows up to this one, by (ts, seq), which settles ties, and
+* rows up to this one, by (ts, seq), which settles ties (or, with ``peers``, all rows up to this instant), and
 * rows strictly before ts - span, by ts,
 
 each of which Spark extends row by row, with one shuffle and one sort for all features.  For volatility
@@ -23,11 +23,12 @@ from ..functions import arrival_number, microprice, signed_qty, squared_return
 from ..schemas import BOOK, DAY, MINUTE, RV_WINDOWS, VWAP_WINDOWS
 
 
-def rolling_features(trades: DataFrame, vwap: dict[str, int] | None = None, rv: dict[str, int] | None = None, ofi: tuple[str, int] = ("ofi_1m", MINUTE), count: tuple[str, int] = ("trade_count_1m", MINUTE), stretch: int = DAY, keep: tuple[str, ...] = (), same_ts_returns: bool = True) -> DataFrame:
+def rolling_features(trades: DataFrame, vwap: dict[str, int] | None = None, rv: dict[str, int] | None = None, ofi: tuple[str, int] = ("ofi_1m", MINUTE), count: tuple[str, int] = ("trade_count_1m", MINUTE), stretch: int = DAY, keep: tuple[str, ...] = (), same_ts_returns: bool = True, peers: bool = False) -> DataFrame:
     """ts, symbol, average prices, volatilities, flow, microprice and count of each trade.
 
     The average price is null where the window's quantities are all 0.  With ``same_ts_returns`` off,
-    trades of one instant have no return between them.  ``keep`` names further columns to pass on.
+    trades of one instant have no return between them.  With ``peers`` a window ends with its trade's
+    instant and holds all trades of it, as SQL's RANGE frames do.  ``keep`` names further columns to pass on.
     """
     vwap, rv = VWAP_WINDOWS if vwap is None else vwap, RV_WINDOWS if rv is None else rv
     halo = max([*vwap.values(), *rv.values(), ofi[1], count[1]])
@@ -38,13 +39,14 @@ def rolling_features(trades: DataFrame, vwap: dict[str, int] | None = None, rv:
     trades = trades.withColumn("_part", F.explode(F.when(F.pmod("ts", F.lit(stretch)) >= stretch - halo, F.array(part, part + 1)).otherwise(F.array(part))))
     by = Window.partitionBy("symbol", "_part")
     order = by.orderBy("ts", "seq")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows_upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    upto = by.orderBy("ts").rangeBetween(Window.unboundedPreceding, 0) if peers else rows_upto
     before = lambda span: by.orderBy("ts").rangeBetween(Window.unboundedPreceding, -(span + 1))
 
     r2 = squared_return(F.col("price"), F.lag("price").over(order))
     if not same_ts_returns:
         r2 = F.when(F.col("ts") == F.lag("ts").over(order), 0.0).otherwise(r2)
-    rows = trades.withColumn("_p0", F.first("price").over(upto)).withColumn("_r2", r2)
+    rows = trades.withColumn("_p0", F.first("price").over(rows_upto)).withColumn("_r2", r2)
     rows = rows.withColumn("_next_r2", F.coalesce(F.lead("_r2").over(order), F.lit(0.0)))
     rows = rows.withColumn("_pq", (F.col("price") - F.col("_p0")) * F.col("qty")).withColumn("_flow", signed_qty(F.col("qty"), F.col("side")))
 

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tapewise.operators import compute_features, drop_late, late_totals
+from tapewise.plans import catalog
 from tapewise.schemas import MINUTE, SECOND
 from tapewise.sources import trades_from_rows
 
@@ -126,3 +127,50 @@ def test_arrival_by_brute_force(spark):
             if m < 15:
                 assert r[f"rv_{m}m"] == pytest.approx(sum(math.log(b[1] / a[1]) ** 2 for a, b in zip(w[m], w[m][1:]) if a[1] > 0 and b[1] > 0), abs=1e-9)
     assert n == compute_features(trades(spark, rows), "arrival").count() < len(rows)
+
+
+def _tied(spark, folder, copies=3, n=400):
+    """Events of which every instant holds one trade of each copy, under other ids, prices and sides."""
+    rng, t = random.Random(5), 1_704_067_200_000_000
+    rows = []
+    for i in range(n):
+        t += rng.choice([1, 20, 100, 4000]) * 1_000_000 if i % 9 else 9 * 86_400_000_000 // 20
+        kind = rng.choice(["click", "view"])
+        rows += [(i + 1001 * c, t, kind, round(rng.uniform(1, 200), 2)) for c in range(copies)]
+    events = spark.createDataFrame(rows, "event_id long, us long, event_type string, value double")
+    events.selectExpr("event_id", "cast(timestamp_micros(us) as timestamp_ntz) AS ts", "event_type", "value", "'{}' AS props").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def _same_as_sql(spark, folder, name):
+    """The registered query against its SQL; rv columns are left out: which trade of an
+    instant their first_value takes is open in SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    out = catalog.QUERIES[name](spark, folder)
+    wanted = [c for c in out.columns if not c.startswith("rv_")]
+    with duckdb.connect() as c:
+        c.execute("SET TimeZone = 'UTC'")
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+        expected = c.execute(f"SELECT {', '.join(wanted)} FROM ({catalog.ORACLES[name]})").fetchall()
+    key = lambda r: [(x is None, x or 0) for x in r]
+    got = sorted((tuple(r) for r in out.select(*wanted).collect()), key=key)
+    assert len(got) == len(expected) > 0
+    for a, b in zip(got, sorted(expected, key=key)):
+        assert a == pytest.approx(b, abs=2e-6)
+
+
+@pytest.fixture(scope="module")
+def tied(spark, tmp_path_factory):
+    return _tied(spark, tmp_path_factory.mktemp("tied"))
+
+
+def test_one_instant_shares_its_windows(spark):
+    rows = trades(spark, [(0, 100, 1, "buy"), (0, 110, 1, "sell"), (30, 120, 2, "buy"), (30, 120, 1, "buy")])
+    out = sorted((r["ts"], r["trade_count_1m"], r["ofi_1m"], r["vwap_1m"]) for r in compute_features(rows, "event_time", peers=True).collect())
+    assert [r[1:3] for r in out] == [(2, 0), (2, 0), (4, 3), (4, 3)]
+    assert [r[3] for r in out] == pytest.approx([105, 105, 114, 114])
+
+
+@pytest.mark.parametrize("name", ["feature_rows"])
+def test_tied_events_as_in_sql(spark, tied, name):
+    _same_as_sql(spark, tied, name)
