@@ -171,6 +171,6 @@ def test_one_instant_shares_its_windows(spark):
     assert [r[3] for r in out] == pytest.approx([105, 105, 114, 114])
 
 
-@pytest.mark.parametrize("name", ["feature_rows", "trade_count_rolling", "jsonl_features", "q2_top_symbols", "q5_ofi_momentum", "sql_q2_top_symbols", "storage_all_rows", "stored_sql_q2"])
+@pytest.mark.parametrize("name", ["feature_rows", "trade_count_rolling", "jsonl_features", "q2_top_symbols", "q5_ofi_momentum", "sql_q2_top_symbols", "storage_all_rows", "stored_sql_q2", "stored_sql_q5"])
 def test_tied_events_as_in_sql(spark, tied, name):
     _same_as_sql(spark, tied, name)
