@@ -319,6 +319,21 @@ def test_secrets(spark, docs, nothing):
     assert sum(map(len, secrets_scan.sample(docs, most_bytes=500))) <= 500 and secrets_scan.sample(nothing) == []
 
 
+def test_secrets_are_learned_from_all_rows(spark):
+    """Findings outside the sample that the network starts from count too."""
+    rng = random.Random(3)
+    drawn = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    words = ["ordinary", "sentence", "holding", "longwords", "e-mail", "2024-01-05", "mail.person@site.example", "1234567", "something"]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(12))
+    rows = spark.createDataFrame([(i, f"{prose()} token = {drawn(32)} {prose()}" if i % 2 else f"{prose()} {prose()}") for i in range(900)] + [(900, None), (901, "")], "doc_id long, text string").repartition(2)
+    assert secrets_scan.sample(rows, longest=10) == [b""]
+    net = secrets_scan.train(rows, longest=10)
+    assert max(net.thresholds) < 1 and net.held_out[0] >= secrets_scan.RECALL and net.held_out[1] >= 0.9
+    held = [f"{prose()} credential = {drawn(30)} {prose()}" for _ in range(60)]
+    found = secrets_scan.find(*joined([t.encode() for t in held]), net)
+    assert np.mean([any(k == 3 and b - a >= 30 for a, k, b, _ in f) for f in found]) >= 0.9
+
+
 def test_secret_in_the_middle_of_a_long_run():
     rng = random.Random(4)
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
