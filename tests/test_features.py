@@ -189,7 +189,7 @@ def copied(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["jsonl_features", "storage_all_rows", "q2_top_symbols", "q5_ofi_momentum", "sql_q2_top_symbols", "stored_sql_q2", "stored_sql_q5"])
+@pytest.mark.parametrize("name", ["jsonl_features", "storage_all_rows", "q2_top_symbols", "q5_ofi_momentum", "sql_q2_top_symbols", "stored_sql_q2", "stored_sql_q5", "trade_count_rolling"])
 def test_sixty_copies_exactly_as_in_sql(spark, copied, name):
     """Whole rows, volatilities too: one thread of DuckDB keeps an instant's order of arrival, so that its first_value is settled."""
     duckdb = pytest.importorskip("duckdb")
