@@ -200,3 +200,29 @@ def test_sixty_copies_exactly_as_in_sql(spark, copied, name):
     key = lambda r: [(x is None, x or 0) for x in r]
     got = sorted((tuple(r) for r in catalog.QUERIES[name](spark, copied).collect()), key=key)
     assert len(expected) > 0 and got == sorted(expected, key=key)
+
+
+@pytest.fixture(scope="module")
+def calmed(spark, tmp_path_factory):
+    """A day of wild prices, then of quiet ones, in which sums over the day must leave no trace of the wild."""
+    folder, rng, t, rows = tmp_path_factory.mktemp("calmed"), random.Random(3), 1_704_931_200_000_000, []
+    for i in range(3000):
+        t += 3_000_000 + rng.randrange(1_000_000) if i != 2000 else 3_600_000_000
+        price = round(rng.uniform(1, 200), 2) if i >= 2000 else [0.01, 1e6][i % 2] * rng.uniform(1, 2)
+        rows.append((i, t, "click", price))
+    events = spark.createDataFrame(rows, "event_id long, us long, event_type string, value double")
+    events.selectExpr("event_id", "cast(timestamp_micros(us) as timestamp_ntz) AS ts", "event_type", "value", "'{}' AS props").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["jsonl_features"])
+def test_quiet_windows_exactly_as_in_sql(spark, calmed, name):
+    """Whole rows of the quiet hours; in the wild ones SQL's own sums are rounded."""
+    duckdb = pytest.importorskip("duckdb")
+    quiet = 1_704_931_200_000_000_000 + 2 * 3600 * SECOND + 2400 * SECOND
+    with duckdb.connect(config={"threads": 1}) as c:
+        c.execute("SET TimeZone = 'UTC'")
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{calmed}/events.parquet/*.parquet'")
+        expected = sorted(r for r in c.execute(catalog.ORACLES[name]).fetchall() if r[0] >= quiet)
+    assert len(expected) == 1000
+    assert sorted(tuple(r) for r in catalog.QUERIES[name](spark, calmed).collect() if r["ts"] >= quiet) == expected
