@@ -57,6 +57,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def files_state(spark: SparkSession, path: str) -> frozenset[tuple[str, int, int]]:
+    """Name, length and time of change of each file below ``path``."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
+    state = set()
+    while files.hasNext():
+        f = files.next()
+        state.add((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return frozenset(state)
+
+
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """One Parquet file."""
     return spark.read.parquet(path)

@@ -2,6 +2,8 @@
 
 import math
 import random
+import shutil
+from pathlib import Path
 
 import pytest
 
@@ -226,3 +228,12 @@ def test_quiet_windows_exactly_as_in_sql(spark, calmed, name):
         expected = sorted(r for r in c.execute(catalog.ORACLES[name]).fetchall() if r[0] >= quiet)
     assert len(expected) == 1000
     assert sorted(tuple(r) for r in catalog.QUERIES[name](spark, calmed).collect() if r["ts"] >= quiet) == expected
+
+
+def test_replaced_events_are_stored_anew(spark, tmp_path):
+    """A larger table under the path of a smaller one, in one session."""
+    (table := tmp_path / "in" / "events.parquet").mkdir(parents=True)
+    for copies in (1, 3):
+        made = _tied(spark, tmp_path / str(copies), copies, n=60)
+        shutil.copyfile(next(Path(made, "events.parquet").glob("*.parquet")), table / "events.parquet")
+        _same_as_sql(spark, str(tmp_path / "in"), "storage_all_rows")
