@@ -12,12 +12,27 @@ from ..functions import day, hour
 from ..schemas import DAY, FEATURE, HOUR, STORED
 
 KEYS = ("symbol", "date", "hour")
+#: Spark reads the folders of an empty symbol and of one named like Hive's null as null: the folder names
+#: of these symbols, and of those that begin with the mark, have it before them.
+_NULL, _MARK = "__HIVE_DEFAULT_PARTITION__", "\x01"
+
+
+def _folder(symbol: str) -> str:
+    return _MARK + symbol if symbol in ("", _NULL) or symbol.startswith(_MARK) else symbol
+
+
+def _symbols(stored: DataFrame) -> DataFrame:
+    """Stored rows with the symbols that their folders stand for."""
+    s = F.col("symbol")
+    return stored.select(*(F.when(s.startswith(_MARK), F.substring(s, 2, 2**31 - 1)).otherwise(s).alias("symbol") if c == "symbol" else F.col(c) for c in stored.columns))
 
 
 def write_features(features: DataFrame, base: str, overwrite: bool = False, row_group: int = 128 << 20, page: int = 1 << 20) -> None:
     """Appends feature rows; ``overwrite`` replaces the partitions that the rows fall into, so that a
     rerun leaves each row once.  Rows of a partition meet before the write: one file for each."""
+    s = F.col("symbol")
     rows = features.select(*FEATURE.names).withColumn("date", day(F.col("ts"))).withColumn("hour", hour(F.col("ts")))
+    rows = rows.withColumn("symbol", F.when(s.isin("", _NULL) | s.startswith(_MARK), F.concat(F.lit(_MARK), s)).otherwise(s))
     writer = rows.repartition(*KEYS).write.partitionBy(*KEYS).option("compression", "snappy").option("parquet.block.size", row_group).option("parquet.page.size", page).option("parquet.enable.dictionary", "true")
     (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else writer.mode("append")).parquet(base)
 
@@ -25,7 +40,7 @@ def write_features(features: DataFrame, base: str, overwrite: bool = False, row_
 def scan_features(spark: SparkSession, base: str) -> DataFrame:
     """All feature rows with ``date`` and ``hour``, unread until needed.  The schema is given, so that a
     symbol of digits stays text; files may have ``symbol`` in their path only or also inside."""
-    return spark.read.schema(STORED).parquet(base)
+    return _symbols(spark.read.schema(STORED).parquet(base))
 
 
 def read_features(spark: SparkSession, base: str, symbol: str | None = None, date_from: int | None = None, date_to: int | None = None) -> DataFrame:
@@ -39,12 +54,12 @@ def read_features(spark: SparkSession, base: str, symbol: str | None = None, dat
 def scan_hour(spark: SparkSession, base: str, symbol: str, ts: int) -> DataFrame | None:
     """Feature rows of the one folder that can hold a symbol's instant, or None: nothing else is listed."""
     jvm = spark._jvm
-    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(symbol)
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(_folder(symbol))
     folder = f"{base.rstrip('/')}/symbol={escaped}/date={ts // DAY}/hour={ts % DAY // HOUR}"
     path = jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.schema(STORED).option("basePath", base).parquet(folder)
+    return _symbols(spark.read.schema(STORED).option("basePath", base).parquet(folder))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -237,3 +237,11 @@ def test_replaced_events_are_stored_anew(spark, tmp_path):
         made = _tied(spark, tmp_path / str(copies), copies, n=60)
         shutil.copyfile(next(Path(made, "events.parquet").glob("*.parquet")), table / "events.parquet")
         _same_as_sql(spark, str(tmp_path / "in"), "storage_all_rows")
+
+
+def test_events_without_a_type_are_stored_as_in_sql(spark, tmp_path):
+    """An empty type stays apart from a null one."""
+    rows = [(i, 1_704_067_200_000_000 + i * 1_000_000, ["", None, "click"][i % 3], 5.0 + i) for i in range(9)]
+    events = spark.createDataFrame(rows, "event_id long, us long, event_type string, value double")
+    events.selectExpr("event_id", "cast(timestamp_micros(us) as timestamp_ntz) AS ts", "event_type", "value", "'{}' AS props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    _same_as_sql(spark, str(tmp_path), "storage_all_rows")

@@ -176,6 +176,18 @@ def test_storage_queries_store_all_rows(spark, tmp_path, monkeypatch, name):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, db.execute(catalog.ORACLES[name]).fetchall()))
 
 
+def test_any_symbol_is_read_back(spark, tmp_path):
+    """Also those whose folders Spark would read as null, or whose names look like a mark of the folders."""
+    base, symbols = str(tmp_path / "symbols"), ["", None, "__HIVE_DEFAULT_PARTITION__", "\x01", "\x01A", "A", "a=b/c"]
+    rows = feature_rows(spark, len(symbols)).withColumn("symbol", F.element_at(F.array(*map(F.lit, symbols)), ((F.col("ts") - B) / MINUTE + 1).cast("int")))
+    write_features(rows, base)
+    assert sorted(map(str, read_features(spark, base).collect())) == sorted(map(str, rows.select(*FEATURE.names).collect()))
+    for k, s in enumerate(symbols):
+        if s is not None:
+            assert [r["ts"] for r in read_features(spark, base, symbol=s).collect()] == [B + k * MINUTE]
+            assert [r["symbol"] for r in scan_hour(spark, base, s, B + k * MINUTE).filter(F.col("ts") == B + k * MINUTE).collect()] == [s]
+
+
 def test_queries_agree(spark, base):
     q = FeatureQueries(spark, base)
     for name, frame, params in (
